@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import mixing, pieces, splits, tokens
+from medloom.llm import mixing, pieces, reading, splits, tokens
 from medloom.runtime import cut, table
 
 
@@ -89,9 +89,23 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("actual_share", F.col("tokens") / F.lit(float(max(total, 1))))
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _levels(spark, sf).filter("level >= 4").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Difficulty and level of every document with words."""
+    return _levels(spark, sf).select("doc_id", "difficulty", "level")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_levels": p9_levels,
 }
 SQL: dict[str, str] = {
     "p1_found": r"""
