@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from medloom.runtime import cut, partitions
+from medloom.runtime import cut, partitions, recut
 
 CYCLE, BELOW_CYCLE = "CYCLE", "BELOW_CYCLE"
 #: Tour positions a block covers; a block's nodes and its open ancestors are what one task holds.
@@ -28,7 +28,7 @@ def _pointers(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     jumps = cut(nodes.select("id", F.coalesce("parent", F.col("id")).alias("to"), F.col("parent").isNull().alias("done")))
     waiting = jumps.filter("not done").count()
     while waiting:
-        jumps = cut(_leap(jumps))
+        jumps = recut(jumps, _leap(jumps))
         left = jumps.filter("not done").count()
         if left == waiting:
             break
@@ -93,10 +93,12 @@ def euler_tour(forest: DataFrame) -> DataFrame:
     rank = cut(arcs.select("a.arc", "a.next", F.lit(1).cast("bigint").alias("left"), F.col("a.step").cast("bigint").alias("climb")))
     while rank.filter("next is not null").limit(1).count():
         ahead = rank.select(F.col("arc").alias("next"), F.col("next").alias("then"), F.col("left").alias("left2"), F.col("climb").alias("climb2"))
-        rank = cut(
-            rank.join(ahead, "next", "left").select(
-                "arc", F.col("then").alias("next"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), (F.col("climb") + F.coalesce("climb2", F.lit(0))).alias("climb")
-            )
+        rank = recut(
+            rank,
+            rank.filter("next is not null")
+            .join(ahead, "next")
+            .select("arc", F.col("then").alias("next"), (F.col("left") + F.col("left2")).alias("left"), (F.col("climb") + F.col("climb2")).alias("climb"))
+            .unionByName(rank.filter("next is null")),
         )
     place = rank.select((F.col("arc").bitwiseAND(1)).alias("up"), F.shiftright("arc", 1).alias("id"), (F.lit(rank.count()) - F.col("left")).alias("place"), "climb")
     return place.groupBy("id").agg(F.min("place").alias("entry"), F.max("place").alias("exit"), F.max(F.when(F.col("up") == 0, -F.col("climb"))).cast("int").alias("depth"))

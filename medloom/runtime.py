@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,44 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
-
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary folder is used. The files survive the loss of an executor.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The application's folder under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
+    temporary one."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="medloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the cluster's shared checkpoint folder and read it from there.
+
+    That ends its lineage, survives the loss of an executor and, unlike a checkpointed plan, carries true sizes: a
+    checkpoint keeps its plan's estimate, which self-joins square from round to round until planning takes longer than
+    running. The table is deleted when the application ends, or by ``discard``.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._medloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``cut`` that nothing reads any more."""
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._medloom_path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def recut(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``cut(new)``, after which ``old``, a table that only ``new`` reads, is deleted."""
+    out = cut(new)
+    discard(old)
+    return out
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
