@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import mixing, pieces, reading, splits, tokens
+from medloom.llm import mixing, personal, pieces, reading, splits, tokens
 from medloom.runtime import cut, table
 
 
@@ -54,6 +54,27 @@ def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("target_share", wanted[F.col("split")])
 
 
+def _clinical_texts(spark: SparkSession, sf: str) -> DataFrame:
+    clinical = table(spark, sf, "clinical_records").select(F.lit("clinical_records").alias("tbl"), F.col("row_id").cast("string").alias("row_key"), F.col("text_content").alias("text"))
+    return clinical.unionByName(table(spark, sf, "records").select(F.lit("records").alias("tbl"), F.col("record_id").alias("row_key"), "text"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _clinical_texts(spark, sf)
+    return personal.find_personal(texts, personal.learn(texts))
+
+
+def p6_sanitised(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders in place of personal items."""
+    texts = _clinical_texts(spark, sf)
+    return personal.sanitise(texts, personal.learn(texts))
+
+
+def p6_disclosure(spark: SparkSession, sf: str) -> DataFrame:
+    """How much each capitalised word of the corpus says about persons: information about protected positions in bits."""
+    return personal.disclosure(_clinical_texts(spark, sf))[0]
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf, "documents"))
 
@@ -104,6 +125,7 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
+    "p6_found": p6_found, "p6_sanitised": p6_sanitised, "p6_disclosure": p6_disclosure,
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_levels": p9_levels,
 }
