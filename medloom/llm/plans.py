@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medloom.llm import mixing, personal, pieces, reading, splits, tokens
+from medloom.llm import mixing, neighbours, personal, pieces, reading, splits, tokens
 from medloom.runtime import cut, table
 
 
@@ -54,6 +54,35 @@ def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("target_share", wanted[F.col("split")])
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.usable(table(spark, sf, "mesh_embeddings"), "ui", "vector")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.close_pairs(_vectors(spark, sf)).select(F.col("key_a").alias("ui_a"), F.col("key_b").alias("ui_b"))
+
+
+def _queries(vectors: DataFrame) -> DataFrame:
+    """The stated query set: every ui whose number is divisible by 50."""
+    return vectors.filter(F.regexp_extract("key", r"(\d+)$", 1).cast("bigint") % 50 == 0)
+
+
+def p5_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar of every ui whose number is divisible by 50, among all."""
+    vectors = cut(_vectors(spark, sf))
+    return neighbours.exact_top_k(_queries(vectors), vectors).select(F.col("key").alias("ui"), F.col("other").alias("other_ui"), F.round("cosine", 6).alias("cosine"), "nth")
+
+
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of p5_found against the exact search, over the query set."""
+    vectors = cut(_vectors(spark, sf))
+    near = neighbours.exact_top_k(_queries(vectors), vectors).filter("cosine >= 0.95").select("key", "other")
+    back = neighbours.exact_top_k(near.select(F.col("other").alias("key")).distinct().join(vectors, "key"), vectors).select(F.col("key").alias("other"), F.col("other").alias("key"))
+    true = near.join(back, ["key", "other"]).select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
+    found = neighbours.close_pairs(vectors).select("key_a", "key_b", F.lit(1).alias("hit"))
+    return true.join(found, ["key_a", "key_b"], "left").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+
+
 def _clinical_texts(spark: SparkSession, sf: str) -> DataFrame:
     clinical = table(spark, sf, "clinical_records").select(F.lit("clinical_records").alias("tbl"), F.col("row_id").cast("string").alias("row_key"), F.col("text_content").alias("text"))
     return clinical.unionByName(table(spark, sf, "records").select(F.lit("records").alias("tbl"), F.col("record_id").alias("row_key"), "text"))
@@ -125,6 +154,7 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
+    "p5_found": p5_found, "p5_topk": p5_topk, "p5_recall": p5_recall,
     "p6_found": p6_found, "p6_sanitised": p6_sanitised, "p6_disclosure": p6_disclosure,
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_levels": p9_levels,
