@@ -1,2 +1,766 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the reference's operators over the test tables, each with the SQL that must agree with it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from medloom import schemas
+from medloom.functions import text as T
+from medloom.functions import values as V
+from medloom.operators import admissions, candidates, eda, encoders, entities, fulltext, metrics, ml, segments, taxonomy, validation, vectors
+from medloom.operators.hierarchy import code_nodes
+from medloom.runtime import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: White space and word characters of the SQL side, the same classes as functions.text has.
+_S, _W = T.SPACE, r"[\p{L}\p{N}_]"
+_COLLAPSE = lambda c: f"regexp_replace(regexp_replace({c}, '{_S}+', ' ', 'g'), '^ | $', '', 'g')"
+_STRIP = lambda c: f"regexp_replace({c}, '^{_S}+|{_S}+$', '', 'g')"
+_TOKENS = lambda c: f"list_filter(regexp_split_to_array({c}, '{_S}+'), lambda x: x <> '')"
+_WORDS = lambda c: f"regexp_extract_all({c}, '{_W}+')"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+# ---- scalar text functions
+
+@query(f"SELECT doc_id, md5({_COLLAPSE('text')}) AS digest FROM documents")
+def normalize_spaces(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.collapse_spaces(F.col("text"))).alias("digest"))
+
+
+@query(rf"SELECT doc_id, md5({_COLLAPSE("regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')")}) AS digest FROM documents")
+def clean_document(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.clean_document(F.col("text"))).alias("digest"))
+
+
+@query(rf"""SELECT doc_id, md5({_STRIP(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t\f\x0b]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")}) AS digest FROM documents""")
+def clean_document_lines(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.clean_document(F.col("text"), keep_newlines=True)).alias("digest"))
+
+
+_NO_ZERO_WIDTH = r"regexp_replace(text_content, '[\x{200b}-\x{200d}\x{feff}]', '', 'g')"
+
+
+@query(f"SELECT row_id, md5({_COLLAPSE(f'lower(strip_accents({_NO_ZERO_WIDTH}))')}) AS digest FROM clinical_records")
+def normalize_accents(spark, sf):
+    return table(spark, sf, "clinical_records").select("row_id", F.md5(T.normalise(F.col("text_content"), accents=False)).alias("digest"))
+
+
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
+def unicode_nfc(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.nfc(F.col("text"))).alias("digest"))
+
+
+@query(
+    r"""SELECT row_id, md5(regexp_replace(text_content, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g')) AS no_emails,
+        md5(regexp_replace(text_content, '\b(\+?\d{1,3}[\s-]?)?(\(?\d{2,4}\)?[\s-]?){2,4}\d{2,4}\b', '<PHONE>', 'g')) AS no_phones FROM clinical_records
+        WHERE regexp_matches(text_content, '^[\x00-\x7f]*$')"""
+)
+def mask_pii(spark, sf):
+    """Over the texts in which Unicode and ASCII word boundaries are the same, so that the SQL side can follow."""
+    rows = table(spark, sf, "clinical_records").filter(F.col("text_content").rlike(r"^[\x00-\x7f]*$"))
+    return rows.select("row_id", F.md5(T.mask_emails(F.col("text_content"))).alias("no_emails"), F.md5(T.mask_phones(F.col("text_content"))).alias("no_phones"))
+
+
+@query()
+def mask_pii_all(spark, sf):
+    text = F.col("text_content")
+    return table(spark, sf, "clinical_records").select("row_id", F.md5(T.mask_phones(T.mask_emails(T.mask_numbers(text)))).alias("digest"))
+
+
+@query(f"SELECT doc_id, nullif(md5(nullif(lower({_COLLAPSE('text')}), '')), '') AS digest FROM documents")
+def preprocess_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.md5(T.preprocess(F.col("text"))).alias("digest"))
+
+
+@query(f"SELECT doc_id, len({_TOKENS('text')})::INTEGER AS n_tokens, md5(array_to_string({_TOKENS('text')}, '|')) AS digest FROM documents WHERE text IS NOT NULL")
+def tokenize_spaces(spark, sf):
+    tokens = T.tokens(F.col("text"))
+    return _docs(spark, sf).filter("text is not null").select("doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, "|")).alias("digest"))
+
+
+@query(f"SELECT doc_id, len({_WORDS('text')})::INTEGER AS n_words, md5(array_to_string({_WORDS('text')}, '|')) AS digest FROM documents WHERE text IS NOT NULL")
+def tokenize_words(spark, sf):
+    words = T.words(F.col("text"))
+    return _docs(spark, sf).filter("text is not null").select("doc_id", F.size(words).alias("n_words"), F.md5(F.array_join(words, "|")).alias("digest"))
+
+
+@query(f"SELECT doc_id, len(list_filter({_TOKENS('text')}, lambda x: length(x) >= 2))::INTEGER AS n_long, list_unique({_TOKENS('text')})::INTEGER AS n_distinct FROM documents WHERE text IS NOT NULL")
+def filter_short_tokens(spark, sf):
+    tokens = T.tokens(F.col("text"))
+    return _docs(spark, sf).filter("text is not null").select("doc_id", F.size(V.long_tokens(tokens)).alias("n_long"), F.size(V.distinct_in_order(tokens)).alias("n_distinct"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def sha256_docs(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query(
+    f"""SELECT record_id, date_document, coalesce(strftime(try_strptime(d, '%Y-%m-%d'), '%Y-%m-%d'), strftime(try_strptime(d, '%d/%m/%Y'), '%Y-%m-%d'), strftime(try_strptime(d, '%d-%m-%Y'), '%Y-%m-%d'),
+        strftime(try_strptime(d, '%Y/%m/%d'), '%Y-%m-%d'), strftime(try_strptime(d, '%Y.%m.%d'), '%Y-%m-%d'), d) AS iso FROM (SELECT *, nullif({_STRIP('date_document')}, '') AS d FROM records)"""
+)
+def parse_dates(spark, sf):
+    return table(spark, sf, "records").select("record_id", "date_document", V.iso_date(F.col("date_document")).alias("iso"))
+
+
+_LINE = {"facility_id": "facility_id", "rss_id": "rss_id", "admission_id": "admission_id", "rum_id": "rum_id", "birth_date": "birth_date", "sex": "sex", "admission_date": "admission_date", "discharge_date": "discharge_date", "primary_diagnosis_code": "primary_diagnosis_code", "related_diagnosis_code": "related_diagnosis_code"}
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed-width lines made of the admission columns."""
+    rows = table(spark, sf, "clinical_records")
+    parts, at = [], 0
+    for name, (start, end) in schemas.ADMISSION_FIELDS.items():
+        parts += [F.lit(" " * (start - at)), F.rpad(F.coalesce(F.col(name), F.lit("")), end - start, " ")]
+        at = end
+    codes = F.coalesce(F.array_join(F.regexp_extract_all("associated_diagnosis_codes", F.lit(r"([A-Za-z0-9.]+)"), F.lit(1)), "  "), F.lit(""))
+    return rows.select("row_id", F.concat(*parts, F.lit(" " * (schemas.ASSOCIATED_FROM - at)), codes).alias("value"))
+
+
+def _fixed_sql() -> str:
+    out = []
+    for name, (start, end) in schemas.ADMISSION_FIELDS.items():
+        value = _STRIP(f"left(coalesce({name}, ''), {end - start})")
+        out.append(f"nullif({value}, '') AS {name}" if name in admissions.OPTIONAL else f"{value} AS {name}")
+    codes = "list_filter(regexp_extract_all(coalesce(associated_diagnosis_codes, ''), '[A-Za-z0-9.]+'), lambda x: length(x) >= 3 AND regexp_matches(x, '^[A-Za-z]'))"
+    return f"SELECT row_id, {', '.join(out)}, array_to_string(list_filter({codes}, lambda x, i: list_position({codes}, x) = i), ' ') AS associated FROM clinical_records"
+
+
+@query(_fixed_sql())
+def fixed_width_parse(spark, sf):
+    return admissions.parse_lines(_lines(spark, sf)).select("row_id", *schemas.ADMISSION_FIELDS, F.array_join("associated_diagnosis_codes", " ").alias("associated"))
+
+
+@query(
+    r"""SELECT row_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i), ',') AS tags, file_name AS base FROM (
+        SELECT row_id, file_name, list_transform(list_filter(string_split(split_part('#' || replace(coalesce(document_types, ''), '_', '-') || '_' || file_name, '_', 1), '#'), lambda x: trim(x) <> ''),
+        lambda x: replace(lower(regexp_replace(x, '^\s+|\s+$', '', 'g')), ' ', '-')) AS t FROM clinical_records WHERE file_name IS NOT NULL)"""
+)
+def file_tags(spark, sf):
+    name = F.concat(F.lit("#"), F.replace(F.coalesce("document_types", F.lit("")), F.lit("_"), F.lit("-")), F.lit("_"), F.col("file_name"))
+    rows = table(spark, sf, "clinical_records").filter("file_name is not null")
+    return rows.select("row_id", F.array_join(T.file_tags(name), ",").alias("tags"), T.file_base(name).alias("base"))
+
+
+@query("SELECT event_id, trim(k) AS key, CAST(v AS VARCHAR) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS k, json_extract_string(props, '$.' || unnest(json_keys(props))) AS v FROM events)")
+def meta_map(spark, sf):
+    clean = V.clean_map(F.from_json("props", "map<string,string>"))
+    return table(spark, sf, "events").select("event_id", F.explode(clean).alias("key", "value"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT * FROM (SELECT record_id, len(TRY_CAST(entities AS JSON[]))::INTEGER AS n FROM records) WHERE n > 0")
+def json_entities(spark, sf):
+    """Records with annotations parsed from JSON; broken JSON counts as none."""
+    return table(spark, sf, "records").select("record_id", F.size(validation.parse_entities(F.col("entities"))).alias("n")).filter("n > 0")
+
+
+@query(f"SELECT filename, CASE WHEN doc_label IN ('crh','cro','cra') THEN doc_label WHEN doc_label IN ('ordonnance_medicaments','ordonnance_examen') THEN 'prescription' WHEN doc_label = 'analyse_labo' THEN 'lab' WHEN doc_label = 'fiche_patient_admission' THEN 'admission' ELSE 'base' END AS doc_class, CASE doc_label WHEN 'ordonnance_medicaments' THEN 'medicaments' WHEN 'ordonnance_examen' THEN 'examen' END AS prescription_type FROM medical_documents")
+def document_subtype(spark, sf):
+    label = F.col("doc_label")
+    kind = F.when(label.isin("crh", "cro", "cra"), label).when(label.isin("ordonnance_medicaments", "ordonnance_examen"), "prescription").when(label == "analyse_labo", "lab").when(label == "fiche_patient_admission", "admission").otherwise("base")
+    detail = F.when(label == "ordonnance_medicaments", "medicaments").when(label == "ordonnance_examen", "examen")
+    return table(spark, sf, "medical_documents").select("filename", kind.alias("doc_class"), detail.alias("prescription_type"))
+
+
+# ---- segments and vectors
+
+_WINDOWED = f"SELECT doc_id, (unnest(range(0, greatest(1, 1 + ceil((len(w) - 220) / 160.0)::BIGINT))))::INTEGER AS seq, w FROM (SELECT doc_id, {_WORDS(_COLLAPSE('text'))} AS w FROM documents) WHERE len(w) > 0"
+
+
+@query(f"SELECT doc_id, seq, (seq * 160)::INTEGER AS start_token, len(w[seq * 160 + 1 : seq * 160 + 220])::INTEGER AS n_tokens, md5(array_to_string(w[seq * 160 + 1 : seq * 160 + 220], ' ')) AS digest FROM ({_WINDOWED})")
+def segment_windows(spark, sf):
+    return segments.word_windows(_docs(spark, sf), "doc_id", "text").select("doc_id", "seq", "start_token", "n_tokens", F.md5(F.array_join("words", " ")).alias("digest"))
+
+
+@query()
+def segment_text_spans(spark, sf):
+    return segments.segment_texts(_docs(spark, sf), "doc_id", "text").select("doc_id", "segment_id", "start_char", "end_char", F.md5("segment").alias("digest"))
+
+
+@query(
+    f"""SELECT count(*) AS n_files, CAST(coalesce(sum(length(coalesce(text, ''))), 0) AS BIGINT) AS total_chars, round(avg(length(coalesce(text, ''))), 6) AS avg_chars, CAST(sum(n) AS BIGINT) AS total_segments, round(avg(n), 6) AS avg_segments
+        FROM (SELECT text, CASE WHEN k = 0 THEN 0 ELSE greatest(0, ceil((k - 220) / 160.0)) + 1 END AS n FROM (SELECT text, coalesce(len({_WORDS('text')}), 0) AS k FROM documents))"""
+)
+def eda_summary(spark, sf):
+    n = eda.window_count(F.coalesce(F.size(T.words(F.col("text"))), F.lit(0)), 220, 60)
+    return eda.summary(_docs(spark, sf).withColumn("n", n), "text", F.col("n")).withColumns({c: F.round(c, 6) for c in ("avg_chars", "avg_segments")})
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE) * (x::DOUBLE))), 6) AS norm2, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: (x::DOUBLE) * (x::DOUBLE)))), 6) AS first_unit FROM embeddings")
+def l2_normalize(spark, sf):
+    v = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.dot(v, v), 6).alias("norm2"), F.round(vectors.unit(v)[0], 6).alias("first_unit"))
+
+
+_NEAR = """SELECT q.vec_id AS query_id, e.vec_id AS entry_id, e.label AS label, q.doc AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id DESC) AS rank
+           FROM (SELECT *, vec_id // 25 AS doc FROM embeddings WHERE vec_id % 5 = 0) q, (SELECT * FROM embeddings WHERE vec_id % 5 <> 0) e"""
+#: The index of the test vectors holds four of five; the fifth are the queries, five to a document.
+_THRESHOLD = 0.35
+
+
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    ask = rows.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = rows.filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vector"))
+    return vectors.nearest(ask, index, 5)
+
+
+def _labelled_near(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), "label")
+    return _near(spark, sf).join(labels, "entry_id").withColumn("doc", F.floor(F.col("query_id") / 25))
+
+
+@query(f"SELECT query_id, entry_id, score, rank::INTEGER AS rank FROM ({_NEAR}) WHERE rank <= 5")
+def cosine_topk(spark, sf):
+    return _near(spark, sf)
+
+
+_LABELS = list(range(10))
+_BY_LABEL = f"""SELECT g.doc, g.label, coalesce(s.score, 0.0) AS score, coalesce(s.score, 0.0) >= {_THRESHOLD} AS predicted, s.entry_id FROM
+    (SELECT doc, label FROM (SELECT DISTINCT doc FROM near), (SELECT unnest(range(10))::INTEGER AS label)) g LEFT JOIN
+    (SELECT doc, label, max(score) AS score, arg_max(entry_id, (score, -query_id, -rank)) AS entry_id FROM near WHERE score > 0 GROUP BY doc, label) s USING (doc, label)"""
+
+
+@query(f"WITH near AS (SELECT * FROM ({_NEAR}) WHERE rank <= 5) {_BY_LABEL}")
+def label_max_threshold(spark, sf):
+    """The flagship: the best score of each label near any of a document's segments, against a threshold."""
+    out = vectors.label_by_neighbours(_labelled_near(spark, sf), _LABELS, "doc", _THRESHOLD)
+    return out.select("doc", "label", "score", "predicted", F.col("evidence.entry_id").alias("entry_id"))
+
+
+@query(f"WITH near AS (SELECT * FROM ({_NEAR}) WHERE rank <= 5), p AS ({_BY_LABEL}) SELECT doc, {', '.join(f'bool_or(predicted) FILTER (label = {i}) AS \"{i}_flag\", max(score) FILTER (label = {i}) AS \"{i}_score\"' for i in range(10))} FROM p GROUP BY doc")
+def predictions_wide(spark, sf):
+    return vectors.wide_predictions(vectors.label_by_neighbours(_labelled_near(spark, sf), _LABELS, "doc", _THRESHOLD), "doc", _LABELS)
+
+
+@query()
+def encode_hashing(spark, sf):
+    """Vectors of the model-free encoder, as their rounded lengths."""
+    rows = _docs(spark, sf).select("doc_id", encoders.encode(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.round(vectors.dot(F.col("v"), F.col("v")), 3).alias("norm2"))
+
+
+@query("SELECT a.vec_id, CASE WHEN c >= 0.75 THEN 'accepted' WHEN c <= 0.45 THEN 'rejected' ELSE 'unsure' END AS verdict, round(greatest(0.0, least(1.0, c)), 6) AS score FROM (SELECT x.vec_id, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1) a")
+def judge_cosine(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    verdict = candidates.judge_cosine(vectors.cosine(F.col("embedding"), F.col("other")))
+    return rows.join(other, "vec_id").select("vec_id", verdict.alias("j")).select("vec_id", "j.verdict", F.round("j.score", 6).alias("score"))
+
+
+# ---- full-text search
+
+_VOCABULARY = "(SELECT * FROM mesh WHERE ui IS NOT NULL AND trim(ui) <> '' QUALIFY row_number() OVER (PARTITION BY ui ORDER BY line_no DESC) = 1)"
+_TERMS = lambda c: rf"regexp_extract_all(lower(strip_accents({c})), '[\p{{L}}\p{{N}}]+')"
+_POSTINGS = f"""v AS {_VOCABULARY}, t AS (SELECT ui AS key, {_TERMS("concat_ws(' ', ui, preferred_terms, synonyms, scope_note)")} AS t FROM v),
+    post AS (SELECT term, key, count(*) AS tf, any_value(doc_len) AS doc_len FROM (SELECT key, len(t) AS doc_len, unnest(t) AS term FROM t) GROUP BY term, key),
+    size AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t)"""
+_INDEXED = ("ui", "preferred_terms", "synonyms", "scope_note")
+
+
+def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary with the last row of each ui."""
+    return candidates.last_wins(table(spark, sf, "mesh").filter("ui is not null and trim(ui) <> ''"), "ui", "line_no")
+
+
+def _bm25_sql(queries: str, k: int) -> str:
+    return f"""WITH {_POSTINGS}, q AS ({queries}), w AS (SELECT query_id, list_distinct({_TERMS('query')}) AS t FROM q), w2 AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM w),
+        df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+        s AS (SELECT query_id, key, sum(greatest(ln((size.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / size.mean))) AS gain, count(*) AS n, any_value(n_terms) AS n_terms
+              FROM w2 JOIN post USING (term) JOIN df USING (term), size GROUP BY query_id, key)
+        SELECT query_id, key, score, rank::INTEGER AS rank FROM (SELECT query_id, key, round(-gain, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(-gain, 6), key) AS rank FROM s WHERE n = n_terms) WHERE rank <= {k}"""
+
+
+def _bm25(spark: SparkSession, sf: str, queries: DataFrame, k: int) -> DataFrame:
+    rows = _vocabulary(spark, sf)
+    index = fulltext.postings(rows, "ui", *_INDEXED)
+    return fulltext.bm25(index, queries, *fulltext.corpus_size(rows, *_INDEXED), k)
+
+
+@query(_bm25_sql("SELECT 1 AS query_id, 'cardiac dysplasia' AS query UNION ALL SELECT 2, 'family history' UNION ALL SELECT 3, 'spirometry liver' UNION ALL SELECT 4, 'Angiopathy, Subacute' UNION ALL SELECT 5, 'hépatofibrose'", 10))
+def bm25_search(spark, sf):
+    asked = [(1, "cardiac dysplasia"), (2, "family history"), (3, "spirometry liver"), (4, "Angiopathy, Subacute"), (5, "hépatofibrose")]
+    return _bm25(spark, sf, spark.createDataFrame(asked, "query_id int, query string"), 10)
+
+
+_CANDIDATES = r"regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ\-]{4,}')"
+
+
+@query(_bm25_sql("SELECT DISTINCT lower(u) AS query_id, lower(u) AS query FROM (SELECT unnest(regexp_extract_all(raw_text, '[A-Za-zÀ-ÖØ-öø-ÿ\\-]{4,}')) AS u FROM medical_documents)".replace("\\\\", "\\"), 1))
+def bm25_batch_top1(spark, sf):
+    """The best vocabulary entry for every distinct term of the medical documents, in one join."""
+    terms = table(spark, sf, "medical_documents").select(F.explode(F.regexp_extract_all("raw_text", F.lit(candidates.TERM), F.lit(1))).alias("t"))
+    queries = terms.select(F.lower("t").alias("query_id")).distinct().withColumn("query", F.col("query_id"))
+    return _bm25(spark, sf, queries, 1)
+
+
+@query(f"WITH {_POSTINGS} SELECT key FROM post WHERE term IN ('mild', 'history') GROUP BY key HAVING count(DISTINCT term) = 2 ORDER BY key LIMIT 20")
+def boolean_search(spark, sf):
+    return fulltext.boolean_search(fulltext.postings(_vocabulary(spark, sf), "ui", *_INDEXED), "history MILD", 20)
+
+
+@query("SELECT row_no, code, description FROM icd10_nodes WHERE contains(lower(description), 'kidney') ORDER BY row_no LIMIT 5")
+def memory_search(spark, sf):
+    return fulltext.substring_search(table(spark, sf, "icd10_nodes").select("row_no", "code", "description"), "description", "KIDNEY", "row_no", 5)
+
+
+_TREES = r"regexp_extract_all(tree_numbers, '[A-Za-z][0-9.]+')"
+
+
+def _trees(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mesh").withColumn("trees", F.regexp_extract_all("tree_numbers", F.lit(r"([A-Za-z][0-9.]+)"), F.lit(1))).select("line_no", "ui", "trees")
+
+
+@query(f"SELECT line_no, ui FROM (SELECT line_no, ui, {_TREES} AS t FROM mesh) WHERE len(list_filter(t, lambda x: contains(lower(x), '14.4'))) > 0 ORDER BY line_no LIMIT 50")
+def browse_contains(spark, sf):
+    return fulltext.browse(_trees(spark, sf), "trees", "14.4", "line_no").select("line_no", "ui")
+
+
+@query(f"SELECT line_no, ui FROM (SELECT line_no, ui, {_TREES} AS t FROM mesh) WHERE len(list_filter(t, lambda x: starts_with(lower(x), 'c0'))) > 0 ORDER BY line_no LIMIT 50")
+def browse_prefix(spark, sf):
+    return fulltext.browse(_trees(spark, sf), "trees", "C0", "line_no", prefix=True).select("line_no", "ui")
+
+
+@query("SELECT line_no, ui, preferred_terms FROM mesh WHERE ui = 'D000000102'")
+def lookup_ui(spark, sf):
+    return fulltext.lookup(table(spark, sf, "mesh"), "ui", "D000000102").select("line_no", "ui", "preferred_terms")
+
+
+@query(
+    f"""SELECT 'text' AS source, query_id::VARCHAR AS query_id, key, score, rank FROM ({_bm25_sql("SELECT 1 AS query_id, 'family history' AS query", 10)}) UNION ALL
+        SELECT 'vector', query_id::VARCHAR, entry_id::VARCHAR, score, rank::INTEGER FROM ({_NEAR}) WHERE rank <= 5 AND query_id = 0"""
+)
+def hybrid_search(spark, sf):
+    text = _bm25(spark, sf, spark.createDataFrame([(1, "family history")], "query_id int, query string"), 10).withColumn("query_id", F.col("query_id").cast("string"))
+    near = _near(spark, sf).filter("query_id = 0").select(F.col("query_id").cast("string"), F.col("entry_id").cast("string").alias("key"), "score", "rank")
+    return fulltext.hybrid(text, near)
+
+
+@query(f"SELECT ui, line_no FROM {_VOCABULARY}")
+def upsert_last_wins(spark, sf):
+    return _vocabulary(spark, sf).select("ui", "line_no")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def first_wins(spark, sf):
+    return candidates.first_wins(table(spark, sf, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+# ---- entities and candidates
+
+_TERM_ROWS = f"""(SELECT doc_id, u AS candidate_term, pos FROM (SELECT doc_id, unnest(c) AS u, unnest(range(len(c)))::INTEGER AS pos FROM (SELECT doc_id, {_CANDIDATES} AS c FROM documents))
+    QUALIFY row_number() OVER (PARTITION BY doc_id, lower(u) ORDER BY pos) = 1)"""
+
+
+@query(f"SELECT doc_id, candidate_term, pos FROM {_TERM_ROWS} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 80")
+def candidate_terms(spark, sf):
+    return candidates.candidate_terms(_docs(spark, sf), "doc_id", "text")
+
+
+@query(f"SELECT doc_id, candidate_term, pos FROM {_TERM_ROWS}")
+def candidate_terms_all(spark, sf):
+    return candidates.candidate_terms(_docs(spark, sf), "doc_id", "text", None)
+
+
+@query(
+    f"""SELECT doc_id::VARCHAR AS doc_id, candidate_term, 'baseline_term' AS candidate_type, '' AS context_snippet, '' AS mesh_ui_suggested, '' AS mesh_label_suggested, 0.0::DOUBLE AS score, '' AS human_validation,
+        '' AS human_target_mesh_ui, '' AS human_new_entity_label, '' AS comment FROM {_TERM_ROWS} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 50"""
+)
+def baseline_candidates(spark, sf):
+    terms = candidates.candidate_terms(_docs(spark, sf), "doc_id", "text", 50)
+    return candidates.candidate_rows(terms.withColumn("doc_id", F.col("doc_id").cast("string")), "baseline_term")
+
+
+_MESH_WORDS = f"(SELECT DISTINCT lower(u) AS term FROM (SELECT unnest({_WORDS('synonyms')}) AS u FROM mesh))"
+
+
+@query(f"SELECT doc_id, candidate_term FROM {_TERM_ROWS} WHERE lower(candidate_term) NOT IN (SELECT term FROM {_MESH_WORDS})")
+def candidates_not_in_vocabulary(spark, sf):
+    words = table(spark, sf, "mesh").select(F.explode(T.words(F.col("synonyms"))).alias("w")).select(F.lower("w").alias("term"))
+    return candidates.unknown_terms(candidates.candidate_terms(_docs(spark, sf), "doc_id", "text", None), words).select("doc_id", "candidate_term")
+
+
+@query(f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS('lower(text)')}) AS term FROM documents) JOIN {_MESH_WORDS} USING (term) GROUP BY doc_id, term")
+def dictionary_tokens(spark, sf):
+    words = table(spark, sf, "mesh").select(F.explode(T.words(F.col("synonyms"))).alias("term"))
+    return entities.token_matches(_docs(spark, sf), words, "doc_id", "text")
+
+
+def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the vocabulary's synonyms written one to a row, as diseases."""
+    from medloom.operators.packed import explode_packed
+
+    terms = explode_packed(table(spark, sf, "mesh"), "line_no", {"preferred_terms": "terms", "synonyms": "terms"}, "mesh")
+    named = terms.join(table(spark, sf, "mesh").select(F.col("line_no").alias("row_no"), "ui"), "row_no").filter("ui is not null and trim(ui) <> ''")
+    one = named.groupBy(F.lower("item").alias("term")).agg(F.min("ui").alias("concept_id"), F.min("item").alias("concept_name"))
+    return one.withColumns({"dictionary": F.lit("mesh"), "label": F.lit("DISEASE")})
+
+
+@query()
+def dictionary_spans(spark, sf):
+    found = entities.dictionary_matches(_docs(spark, sf), _dictionary(spark, sf), "doc_id", "text")
+    return found.select("doc_id", "term", "start", "end", "concept_id")
+
+
+@query()
+def annotate_records(spark, sf):
+    docs = candidates.first_wins(table(spark, sf, "records").filter("text is not null"), "record_id", "received_at").select("record_id", "text")
+    rows = entities.annotate(docs, _dictionary(spark, sf)).select("record_id", F.explode("entities").alias("e"))
+    return rows.select("record_id", "e.id", "e.start", "e.end", "e.label", "e.concept_id", "e.negation", "e.temporality")
+
+
+@query()
+def label_dictionary(spark, sf):
+    from medloom.operators.packed import packed_values
+
+    cells = table(spark, sf, "mesh").select("line_no", "ui", *[F.transform(packed_values(F.col(c)), lambda x: x["item"]).alias(c) for c in ("preferred_terms", "synonyms")])
+    return entities.label_dictionary(cells)
+
+
+_CUES = "['no', 'not', 'without', 'denies', 'deny', 'absence', 'absent']"
+_ANCHOR = "history"
+
+
+@query(f"SELECT doc_id, pos::INTEGER AS pos, CASE WHEN list_has_any(b[greatest(len(b) - 11, 1):], {_CUES}) THEN 'negated' ELSE 'not_negated' END AS status FROM (SELECT doc_id, strpos(lower(text), '{_ANCHOR}') - 1 AS pos, {_TOKENS(f"lower(left(text, strpos(lower(text), '{_ANCHOR}') - 1))")} AS b FROM documents WHERE strpos(lower(text), '{_ANCHOR}') > 0)")
+def negation_window(spark, sf):
+    """Negation of the first mention of a word in each document."""
+    rows = _docs(spark, sf).withColumn("pos", F.locate(_ANCHOR, F.lower("text")) - 1).filter("pos >= 0")
+    return rows.select("doc_id", "pos", entities.negation(F.col("text"), F.col("pos")).alias("status"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN list_has_any(t, ['history', 'previously', 'formerly', 'past']) THEN 'past' WHEN list_has_any(t, ['chronic', 'long-term', 'longterm', 'longstanding']) THEN 'chronic'
+        WHEN list_has_any(t, ['currently', 'ongoing', 'today', 'active', 'now']) THEN 'current' WHEN list_has_any(t, ['will', 'planned', 'schedule', 'tomorrow', 'next']) THEN 'future' END AS temporality
+        FROM (SELECT doc_id, {_TOKENS('lower(text)')} AS t FROM documents)"""
+)
+def temporality_flags(spark, sf):
+    return _docs(spark, sf).select("doc_id", entities.temporality(F.col("text")).alias("temporality"))
+
+
+@query(
+    r"""SELECT row_no, lower(regexp_replace(regexp_extract(h, '([A-Za-zÀ-ÖØ-öø-ÿ\-\s]+?)\s*\(([A-Z]{2,8})\)', 1), '^\s+|\s+$', '', 'g')) AS long_form, regexp_extract(h, '([A-Za-zÀ-ÖØ-öø-ÿ\-\s]+?)\s*\(([A-Z]{2,8})\)', 2) AS abbreviation
+        FROM (SELECT row_no, unnest(regexp_extract_all(description || ' (ABC) then ' || description || ' (XY)', '([A-Za-zÀ-ÖØ-öø-ÿ\-\s]+?)\s*\(([A-Z]{2,8})\)')) AS h FROM icd10_nodes)"""
+)
+def abbreviation_pairs(spark, sf):
+    made = F.concat("description", F.lit(" (ABC) then "), "description", F.lit(" (XY)"))
+    return candidates.abbreviations(table(spark, sf, "icd10_nodes").select("row_no", made.alias("t")), "row_no", "t").select("row_no", "long_form", "abbreviation")
+
+
+_PARTS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-zà-öø-ÿ]+'))"
+
+
+@query(
+    f"""SELECT row_no, CASE WHEN a = '' OR b = '' THEN 'unsure' WHEN lower(a) = lower(b) THEN 'accepted' WHEN short THEN 'unsure' WHEN r >= 0.75 THEN 'accepted' WHEN r <= 0.2 THEN 'rejected' ELSE 'unsure' END AS verdict,
+        round(CASE WHEN a = '' OR b = '' THEN 0.0 WHEN lower(a) = lower(b) THEN 1.0 WHEN short THEN 0.55 WHEN r >= 0.75 THEN least(0.95, r) WHEN r <= 0.2 THEN greatest(0.05, r) ELSE greatest(0.25, r) END::DOUBLE, 6) AS score FROM (
+        SELECT row_no, a, b, a = upper(a) AND lower(a) <> a AND length(a) <= 8 AND len({_PARTS('b')}) >= 2 AS short, len(list_intersect({_PARTS('a')}, {_PARTS('b')}))::DOUBLE / greatest(1, len({_PARTS('a')})) AS r FROM (
+        SELECT x.row_no, coalesce({_STRIP('x.description')}, '') AS a, coalesce({_STRIP('y.description')}, '') AS b FROM icd10_nodes x JOIN icd10_nodes y ON y.row_no = x.row_no + 1))"""
+)
+def judge_baseline(spark, sf):
+    rows = table(spark, sf, "icd10_nodes").select("row_no", F.col("description").alias("a"))
+    other = rows.select((F.col("row_no") - 1).alias("row_no"), F.col("a").alias("b"))
+    return rows.join(other, "row_no").select("row_no", candidates.judge(F.col("a"), F.col("b")).alias("j")).select("row_no", "j.verdict", F.round("j.score", 6).alias("score"))
+
+
+# ---- validation and curation
+
+@query(
+    r"""SELECT record_id, coalesce(regexp_matches(record_id, '^[A-Za-z0-9_.:-]{1,128}$'), false) AS id_ok, coalesce(regexp_matches(patient_id, '^[A-Za-z0-9_.:-]{1,128}$'), false) AS patient_ok,
+        coalesce(regexp_replace(text, '""" + _S + r"""+', '', 'g') <> '', false) AS text_ok FROM records"""
+)
+def validate_record_rules(spark, sf):
+    rows = table(spark, sf, "records")
+    filled = T.strip(T.text_or_empty(F.col("text"))) != ""
+    return rows.select("record_id", validation.matches(F.col("record_id"), validation.ROW_ID).alias("id_ok"), validation.matches(F.col("patient_id"), validation.ROW_ID).alias("patient_ok"), filled.alias("text_ok"))
+
+
+@query()
+def validate_records(spark, sf):
+    rows = table(spark, sf, "records").withColumn("entities", validation.parse_entities(F.col("entities")))
+    return rows.select("record_id", F.array_join(validation.record_errors(F.col("entities")), ",").alias("errors"))
+
+
+@query()
+def validate_entities(spark, sf):
+    rows = table(spark, sf, "records").select("record_id", F.explode(validation.parse_entities(F.col("entities"))).alias("e"))
+    return rows.select("record_id", F.col("e.id").alias("id"), F.array_join(validation.entity_errors(F.col("e")), ",").alias("errors"))
+
+
+@query("SELECT l.label, t.value, CASE WHEN l.label = 'MEDICATION' THEN coalesce(t.value IN ('past','current','chronic','future'), false) WHEN l.label = 'DISEASE' THEN coalesce(t.value IN ('past','current','chronic'), false) ELSE t.value IS NULL END AS valid FROM (SELECT unnest(['MEDICATION','DISEASE','TEST']) AS label) l, (SELECT unnest(['past','current','chronic','future','never',NULL]) AS value) t")
+def temporality_policy(spark, sf):
+    values = ["past", "current", "chronic", "future", "never", None]
+    rows = spark.createDataFrame([(label, value) for label in ("MEDICATION", "DISEASE", "TEST") for value in values], "label string, value string")
+    return rows.withColumn("valid", validation.temporality_valid(F.col("label"), F.col("value")))
+
+
+_VALIDATED = """(SELECT row_no::VARCHAR AS doc_id, description AS candidate_term, CASE row_no % 3 WHEN 0 THEN ' Accepted ' WHEN 1 THEN 'rejected' ELSE 'ACCEPTED' END AS human_validation,
+    CASE WHEN row_no % 2 = 0 THEN code ELSE ' ' END AS human_target_mesh_ui, CASE WHEN row_no % 5 = 0 THEN 'new ' || row_no ELSE '' END AS human_new_entity_label FROM icd10_nodes)"""
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("row_no")
+    return table(spark, sf, "icd10_nodes").select(
+        n.cast("string").alias("doc_id"), F.col("description").alias("candidate_term"), F.when(n % 3 == 0, " Accepted ").when(n % 3 == 1, "rejected").otherwise("ACCEPTED").alias("human_validation"),
+        F.when(n % 2 == 0, F.col("code")).otherwise(" ").alias("human_target_mesh_ui"), F.when(n % 5 == 0, F.concat(F.lit("new "), n.cast("string"))).otherwise("").alias("human_new_entity_label"),
+    )
+
+
+@query(f"SELECT doc_id, candidate_term FROM {_VALIDATED} WHERE lower(trim(human_validation)) = 'accepted'")
+def accepted_filter(spark, sf):
+    return candidates.accepted(_validated(spark, sf)).select("doc_id", "candidate_term")
+
+
+@query(
+    f"""SELECT 'mapping' AS kind, doc_id, {_STRIP('human_target_mesh_ui')} AS value FROM {_VALIDATED} WHERE lower(trim(human_validation)) = 'accepted' AND nullif({_STRIP('human_target_mesh_ui')}, '') IS NOT NULL UNION ALL
+        SELECT 'new', doc_id, label FROM (SELECT doc_id, coalesce(nullif({_STRIP('human_new_entity_label')}, ''), nullif({_STRIP('candidate_term')}, '')) AS label FROM {_VALIDATED} WHERE lower(trim(human_validation)) = 'accepted' AND nullif({_STRIP('human_target_mesh_ui')}, '') IS NULL) WHERE label IS NOT NULL"""
+)
+def extended_vocabulary(spark, sf):
+    mappings, new, _ = candidates.extended_vocabulary(_validated(spark, sf))
+    return mappings.select(F.lit("mapping").alias("kind"), "doc_id", F.col("mesh_ui").alias("value")).unionByName(new.select(F.lit("new").alias("kind"), "doc_id", F.col("label").alias("value")))
+
+
+# ---- joins and aggregates
+
+_FIRST_STAY = "(SELECT * FROM stays WHERE admission_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY admission_id ORDER BY received_at, patient_id NULLS FIRST) = 1)"
+
+
+@query(f"SELECT c.row_id, c.admission_id, s.patient_id, s.source_system FROM clinical_records c LEFT JOIN {_FIRST_STAY} s USING (admission_id)")
+def admission_left_join(spark, sf):
+    docs = table(spark, sf, "clinical_records").select("row_id", "admission_id")
+    return admissions.join_documents(docs, table(spark, sf, "stays").select("admission_id", "patient_id", "source_system", "received_at"), "received_at", "patient_id").select("row_id", "admission_id", "patient_id", "source_system")
+
+
+@query("SELECT admission_id, md5(string_agg(text_content, ' ' ORDER BY row_id)) AS digest, length(string_agg(text_content, ' ' ORDER BY row_id))::INTEGER AS n_chars FROM clinical_records WHERE text_content IS NOT NULL GROUP BY admission_id")
+def text_concat_per_key(spark, sf):
+    rows = admissions.joined_text(table(spark, sf, "clinical_records"), "admission_id", "text_content", "row_id")
+    return rows.select("admission_id", F.md5("text_content").alias("digest"), F.length("text_content").alias("n_chars"))
+
+
+@query("SELECT round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, max(n)::DOUBLE AS max FROM (SELECT length(string_agg(text_content, ' ' ORDER BY row_id)) AS n FROM clinical_records WHERE text_content IS NOT NULL GROUP BY admission_id)")
+def text_length_stats(spark, sf):
+    # length of the joined text without joining it: texts and the blanks between them
+    rows = table(spark, sf, "clinical_records").filter("text_content is not null").groupBy("admission_id").agg((F.sum(F.length("text_content")) + F.count(F.lit(1)) - 1).alias("n"))
+    return rows.agg(*admissions.length_stats(F.col("n"))).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"SELECT primary_diagnosis_code, count(*) AS count FROM (SELECT admission_id, arg_min(primary_diagnosis_code, row_id) AS primary_diagnosis_code FROM clinical_records WHERE admission_id IS NOT NULL AND primary_diagnosis_code IS NOT NULL GROUP BY admission_id) WHERE {_STRIP('primary_diagnosis_code')} <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def label_distribution_topk(spark, sf):
+    rows = table(spark, sf, "clinical_records").filter("primary_diagnosis_code is not null")
+    return admissions.value_counts(rows, "admission_id", "primary_diagnosis_code", "row_id").limit(20)
+
+
+@query(" UNION ALL ".join(f"SELECT '{label}' AS label, count(*) FILTER ({' OR '.join(f"contains(lower(coalesce(raw_text, '')), '{w}')" for w in words)}) AS n_docs FROM medical_documents" for label, words in schemas.KEYWORD_HINTS.items()))
+def keyword_hits(spark, sf):
+    return eda.keyword_hits(table(spark, sf, "medical_documents"), "raw_text", schemas.KEYWORD_HINTS)
+
+
+@query("SELECT coalesce(len(allergies), 0)::INTEGER AS n_labels, count(*) AS n_docs FROM medical_documents GROUP BY 1")
+def multilabel_histogram(spark, sf):
+    return eda.labels_per_document(table(spark, sf, "medical_documents"), "allergies")
+
+
+@query("SELECT label, count(*) AS n_docs FROM (SELECT unnest(allergies) AS label FROM medical_documents) GROUP BY label")
+def label_counts(spark, sf):
+    return eda.label_counts(table(spark, sf, "medical_documents"), "allergies")
+
+
+_SPANS = lambda step: f"(SELECT doc_id, u AS label, pos AS start FROM (SELECT doc_id, unnest(w) AS u, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_WORDS('text')} AS w FROM documents)) WHERE pos % {step} = 0)"
+
+
+@query(
+    f"""SELECT tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1 FROM (
+        SELECT count(*) FILTER (g AND p) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM (SELECT DISTINCT doc_id, label, start, true AS g FROM {_SPANS(2)}) FULL JOIN (SELECT DISTINCT doc_id, label, start, true AS p FROM {_SPANS(3)}) USING (doc_id, label, start))"""
+)
+def entity_prf(spark, sf):
+    words = _docs(spark, sf).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("start", "label"))
+    out = entities.annotation_scores(words.filter("start % 2 = 0"), words.filter("start % 3 = 0"), keys=("doc_id", "start", "label"))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+_VOTES = f"(SELECT n.query_id, q.label AS y_true, n.label AS y_pred FROM ({_NEAR}) n JOIN embeddings q ON q.vec_id = n.query_id WHERE n.rank = 1)"
+
+
+def _votes(spark: SparkSession, sf: str) -> DataFrame:
+    """True label and label of the nearest entry of every query."""
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
+    near = _near(spark, sf).filter("rank = 1")
+    return near.join(labels.withColumnsRenamed({"vec_id": "query_id", "label": "y_true"}), "query_id").join(labels.withColumnsRenamed({"vec_id": "entry_id", "label": "y_pred"}), "entry_id").select("y_true", "y_pred")
+
+
+_CLASS = f"""c AS (SELECT y_true, y_pred, count(*) AS n FROM {_VOTES} GROUP BY 1, 2), k AS (SELECT DISTINCT y_true AS label FROM c UNION SELECT DISTINCT y_pred FROM c),
+    p AS (SELECT label, coalesce((SELECT sum(n) FROM c WHERE y_true = label AND y_pred = label), 0) AS tp, coalesce((SELECT sum(n) FROM c WHERE y_pred = label), 0) AS np, coalesce((SELECT sum(n) FROM c WHERE y_true = label), 0) AS support FROM k),
+    r AS (SELECT label, CASE WHEN np = 0 THEN 0.0 ELSE tp / np::DOUBLE END AS precision, CASE WHEN support = 0 THEN 0.0 ELSE tp / support::DOUBLE END AS recall, CASE WHEN np + support = 0 THEN 0.0 ELSE 2 * tp / (np + support)::DOUBLE END AS f1, support FROM p)"""
+
+
+@query(f"WITH {_CLASS} SELECT round((SELECT sum(n) FILTER (y_true = y_pred) / sum(n)::DOUBLE FROM c), 6) AS accuracy, round((SELECT sum(n) FILTER (y_true = y_pred) / sum(n)::DOUBLE FROM c), 6) AS f1_micro, round(avg(f1), 6) AS f1_macro FROM r")
+def accuracy_f1(spark, sf):
+    return metrics.accuracy_f1(_votes(spark, sf)).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "f1_micro", "f1_macro")])
+
+
+@query(
+    f"""WITH {_CLASS} SELECT label::VARCHAR AS label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support::BIGINT AS support FROM r UNION ALL
+        SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::BIGINT FROM r UNION ALL
+        SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM r"""
+)
+def classification_report(spark, sf):
+    return metrics.report(_votes(spark, sf)).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(f"SELECT y_true, {', '.join(f'count(*) FILTER (y_pred = {i}) AS pred_{i}' for i in range(10))} FROM {_VOTES} GROUP BY y_true")
+def confusion_matrix(spark, sf):
+    return metrics.confusion_matrix(_votes(spark, sf), _LABELS)
+
+
+_LOGITS = "(SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z FROM embeddings)"
+_NAMES = [f"c{i}" for i in range(10)]
+
+
+def _logits(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("z"))
+
+
+_SOFT = f"(SELECT vec_id, label, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) AS p FROM {_LOGITS})"
+
+
+@query(f"SELECT vec_id, unnest(range(10))::INTEGER AS pos, round(unnest(p), 6) AS prob FROM {_SOFT}")
+def softmax(spark, sf):
+    return _logits(spark, sf).select("vec_id", F.posexplode(V.softmax(F.col("z"))).alias("pos", "prob")).withColumn("prob", F.round("prob", 6))
+
+
+@query(f"SELECT vec_id, rank::INTEGER AS rank, 'c' || pos AS label FROM (SELECT vec_id, pos, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos DESC) AS rank FROM (SELECT vec_id, unnest(range(10)) AS pos, unnest(z) AS v FROM {_LOGITS})) WHERE rank <= 5")
+def select_topk(spark, sf):
+    top = V.top_labels(F.col("z"), _NAMES, 5)
+    return _logits(spark, sf).select("vec_id", F.posexplode(top).alias("rank", "x")).select("vec_id", (F.col("rank") + 1).alias("rank"), "x.label")
+
+
+@query(f"SELECT vec_id, 'c' || pos AS label, round(v, 6) AS prob FROM (SELECT vec_id, unnest(range(10)) AS pos, unnest(p) AS v FROM {_SOFT}) WHERE v >= CASE WHEN pos = 0 THEN 0.1 ELSE 0.12 END")
+def apply_thresholds(spark, sf):
+    kept = V.above_thresholds(V.softmax(F.col("z")), _NAMES, {"c0": 0.1}, 0.12)
+    return _logits(spark, sf).select("vec_id", F.explode(kept).alias("x")).select("vec_id", "x.label", F.round("x.prob", 6).alias("prob"))
+
+
+@query(f"SELECT round(avg(hit), 6) AS top_k_accuracy FROM (SELECT vec_id, max((pos = label)::INTEGER) AS hit FROM (SELECT vec_id, label, pos, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, pos DESC) AS rank FROM (SELECT vec_id, label, unnest(range(10)) AS pos, unnest(z) AS v FROM {_LOGITS})) WHERE rank <= 5 GROUP BY vec_id)")
+def topk_accuracy(spark, sf):
+    rows = _logits(spark, sf).select(F.col("vec_id").alias("row_id"), F.col("label").alias("y_true"), F.posexplode("z").alias("label", "score"))
+    return metrics.top_k_accuracy(rows, 5).select(F.round("top_k_accuracy", 6).alias("top_k_accuracy"))
+
+
+# ---- code tree
+
+_TREE = r"""tree AS (SELECT node AS code, CASE WHEN parent IN (SELECT node FROM n0) THEN parent END AS parent FROM (SELECT * FROM n0)), """
+_TREE = (
+    r"WITH RECURSIVE n0 AS (SELECT upper(regexp_replace(code, '[^\p{L}\p{Nd}]', '', 'g')) AS node, arg_min(coalesce(nullif(upper(regexp_replace(parent, '[^\p{L}\p{Nd}]', '', 'g')), ''), '-'), row_no) AS parent FROM icd10_nodes WHERE regexp_replace(code, '[^\p{L}\p{Nd}]', '', 'g') <> '' GROUP BY 1), "
+    "tree AS (SELECT node AS code, CASE WHEN parent IN (SELECT node FROM n0) THEN parent END AS parent FROM n0), "
+    "good AS (SELECT code FROM tree WHERE parent IS NULL UNION ALL SELECT t.code FROM tree t JOIN good g ON t.parent = g.code), "
+    "up AS (SELECT t.code, t.parent AS ancestor, 1 AS distance FROM tree t JOIN good USING (code) WHERE t.parent IS NOT NULL UNION ALL SELECT u.code, t.parent, u.distance + 1 FROM up u JOIN tree t ON t.code = u.ancestor WHERE t.parent IS NOT NULL) "
+)
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    return code_nodes(table(spark, sf, "icd10_nodes")).select(F.col("node").alias("code"), "parent")
+
+
+@query(_TREE + "SELECT code, ancestor, distance::INTEGER AS distance FROM up")
+def taxonomy_ancestors(spark, sf):
+    return taxonomy.ancestors(_tree(spark, sf))
+
+
+@query(_TREE + "SELECT ancestor AS code, code AS descendant, distance::INTEGER AS distance FROM up")
+def taxonomy_descendants(spark, sf):
+    return taxonomy.descendants(_tree(spark, sf))
+
+
+@query(_TREE + "SELECT t.code, u.ancestor AS rolled FROM tree t LEFT JOIN (SELECT * FROM up WHERE distance = 2) u USING (code)")
+def taxonomy_roll_up(spark, sf):
+    return taxonomy.roll_up(_tree(spark, sf), 2)
+
+
+@query(_TREE + "SELECT code, parent FROM tree")
+def taxonomy_parents(spark, sf):
+    return taxonomy.parents(_tree(spark, sf))
+
+
+@query(_TREE + "SELECT parent AS code, count(*) AS n_children, min(code) AS first_child FROM tree WHERE parent IS NOT NULL GROUP BY parent")
+def taxonomy_children(spark, sf):
+    return taxonomy.children(_tree(spark, sf))
+
+
+_PREDICTED = r"(SELECT c.row_id, n0.node AS code, ((c.row_id % 7) + 1) / 10.0::DOUBLE AS score FROM clinical_records c JOIN n0 ON n0.node = upper(regexp_replace(c.primary_diagnosis_code, '[^\p{L}\p{Nd}]', '', 'g')))"
+
+
+@query(_TREE + f"SELECT row_id, code, round(score, 6) AS score FROM {_PREDICTED} UNION ALL SELECT p.row_id, t.parent, round(0.9::DOUBLE * p.score, 6) FROM {_PREDICTED} p JOIN tree t USING (code) WHERE t.parent IS NOT NULL AND t.parent <> p.code")
+def enforce_parent(spark, sf):
+    """One predicted code a row with its missing parent."""
+    tree = _tree(spark, sf)
+    code = F.upper(F.regexp_replace("primary_diagnosis_code", r"[^\p{L}\p{Nd}]", ""))
+    predicted = table(spark, sf, "clinical_records").select("row_id", code.alias("code"), (((F.col("row_id") % 7) + 1) / F.lit(10.0)).alias("score")).join(tree.select("code"), "code")
+    return metrics.with_parents(predicted, taxonomy.parents(tree)).select("row_id", "code", F.round("score", 6).alias("score"))
+
+
+# ---- features and training
+
+@query(
+    f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS('lower(text)')}) AS term FROM documents) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+        w AS (SELECT doc_id, term, tf * (ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w FROM tf JOIN df USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1)
+        SELECT doc_id, term, round(w / l, 6) AS weight FROM w JOIN l USING (doc_id)"""
+)
+def tfidf_weights(spark, sf):
+    return ml.smooth_tfidf(_docs(spark, sf), "doc_id", T.words(F.lower("text")))
+
+
+@query("SELECT lang, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS label_index FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def label_index(spark, sf):
+    langs = _docs(spark, sf).select("lang").filter("lang is not null").distinct()
+    return langs.withColumn("label_index", F.dense_rank().over(Window.orderBy("lang")) - 1)
+
+
+def _labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "medical_documents").filter("doc_label is not null and length(trim(raw_text)) > 0")
+    return rows.select("filename", F.col("doc_label").alias("label"), T.preprocess(F.col("raw_text")).alias("text")).filter("text is not null")
+
+
+@query()
+def logreg_predict(spark, sf):
+    """Labels predicted by a logistic regression on TF-IDF, trained on four of five documents."""
+    rows = _labelled_texts(spark, sf).withColumn("fold", F.pmod(F.xxhash64("filename"), F.lit(5)))
+    model = ml.train(rows.filter("fold <> 0"), "logreg", ml.Features(max_features=20_000, max_words=1), maxIter=10)
+    return ml.predict(model, rows.filter("fold = 0")).select("filename", "label", "predicted_label")
+
+
+@query()
+def hashing_features(spark, sf):
+    rows = _labelled_texts(spark, sf)
+    model = ml.fit_features(rows, ml.Features(hashed=True))
+    return model.transform(rows).select("filename", F.size(ml.vector_to_array("features")).alias("dims"))
+
+
+@query()
+def calibrated_scores(spark, sf):
+    scored = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("score"), (F.col("label") < 5).cast("int").alias("y"))
+    return ml.calibrated(ml.calibrate(scored, "score", "y", "isotonic"), scored, "score").select("vec_id", F.round("calibrated", 6).alias("calibrated"))
