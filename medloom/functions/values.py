@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from medloom.functions import text as T
 DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "yyyy/M/d", "yyyy.M.d")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where naming it twice inside a lambda would compute it each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def iso_date(c: Column) -> Column:
     """A date in any of DATE_FORMATS as yyyy-MM-dd; other text as it is, without white space at the ends; blank as null."""
     plain = T.stripped_or_null(c)
@@ -32,16 +39,18 @@ def associated_codes(c: Column) -> Column:
 
 def clean_map(c: Column) -> Column:
     """Keys and values without white space at the ends, entries with a blank key dropped; of equal keys the last holds."""
-    entries = F.transform(F.map_entries(c), lambda e: F.struct(T.strip(e["key"]).alias("key"), T.text_or_empty(T.strip(e["value"])).alias("value")))
-    entries = F.filter(entries, lambda e: e["key"] != "")
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))))
+    found = F.transform(F.map_entries(c), lambda e: F.struct(T.strip(e["key"]).alias("key"), T.text_or_empty(T.strip(e["value"])).alias("value")))
+    last = lambda entries: F.transform(
+        F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))
+    )
+    return F.map_from_entries(let(F.filter(found, lambda e: e["key"] != ""), last))
 
 
 def softmax(c: Column) -> Column:
     """Exponentials of an array shifted by its maximum, scaled to add up to one; an empty array stays empty."""
-    shifted = F.transform(c, lambda x: F.exp(x.cast("double") - F.array_max(c).cast("double")))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda s, y: s + y))
+    shifted = let(F.array_max(c).cast("double"), lambda top: F.transform(c, lambda x: F.exp(x.cast("double") - top)))
+    scaled = lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda sum_: F.transform(e, lambda x: x / sum_))
+    return let(shifted, scaled)
 
 
 def _scored(probabilities: Column, labels: list[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.functions import text as T
+from medloom.functions.values import let
 
 # What a term and an abbreviation in brackets look like.
 TERM = r"([A-Za-zÀ-ÖØ-öø-ÿ\-]{4,})"
@@ -18,10 +19,11 @@ def candidate_terms(docs: DataFrame, key: str, text: str, most: int | None = 80)
     ``most`` is the feature's own limit; None lifts it. Terms of one text never leave its row, so nothing is shuffled.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(1))
-    small = F.transform(found, F.lower)
-    first = F.filter(F.transform(found, lambda t, i: F.struct(i.alias("pos"), t.alias("t"))), lambda x: F.array_position(small, F.lower(x["t"])) == x["pos"] + 1)
-    first = F.slice(first, 1, most) if most else first
-    return docs.select(F.col(key), F.explode(first).alias("c")).select(key, F.col("c.t").alias("candidate_term"), F.col("c.pos").alias("pos"))
+    by_term = F.array_sort(F.transform(found, lambda t, i: F.struct(F.lower(t).alias("small"), i.alias("pos"), t.alias("t"))))
+    first = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["small"] != x["small"]))
+    in_order = F.array_sort(F.transform(let(by_term, first), lambda x: F.struct(x["pos"].alias("pos"), x["t"].alias("t"))))
+    kept = F.slice(in_order, 1, most) if most else in_order
+    return docs.select(F.col(key), F.explode(kept).alias("c")).select(key, F.col("c.t").alias("candidate_term"), F.col("c.pos").alias("pos"))
 
 
 def abbreviations(docs: DataFrame, key: str, text: str, anchor: str | None = None) -> DataFrame:

@@ -7,18 +7,31 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from medloom.functions import text as T
+from medloom.functions.values import let
 from medloom.schemas import NEGATION_CUES, TEMPORAL_CUES, TEMPORALITIES
 
 MAX_ENTITIES, NEGATION_WINDOW = 300, 12
 _WORD = re.compile(r"\w+")
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
-def word_spans(texts: pd.Series) -> pd.Series:
-    """Start and end of every word."""
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in (m.span() for m in _WORD.finditer(t or ""))])
+_RUN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("surface", StringType())])
+
+
+def word_runs(text: Column, max_words: int) -> Column:
+    """Start, end and text of every run of one to ``max_words`` words."""
+
+    @F.pandas_udf(ArrayType(_RUN))
+    def runs(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            spans = [m.span() for m in _WORD.finditer(t or "")]
+            out.append([{"start": a, "end": b, "surface": t[a:b]} for i, (a, _) in enumerate(spans) for _, b in spans[i : i + max_words]])
+        return pd.Series(out)
+
+    return runs(text)
 
 
 def label_dictionary(vocabulary: DataFrame, max_synonyms: int = 8) -> DataFrame:
@@ -39,13 +52,7 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: s
     that don't start and end with a word character, can't match. Null and blank texts have no rows.
     """
     dictionary = dictionary.withColumn("term", F.lower(T.strip(F.col("term")))).filter("term <> ''")
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null").withColumn("w", word_spans("_text"))
-    run = lambda n: F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.size("w") >= n),
-        lambda i: F.struct(F.get("w", i)["start"].alias("start"), F.get("w", i + (n - 1))["end"].alias("end")),
-    )
-    runs = rows.filter(F.size("w") > 0).select(key, "_text", F.explode(F.concat(*[F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<struct<start:int,end:int>>")) for n in range(1, max_words + 1)])).alias("r"))
-    runs = runs.select(key, F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.substr("_text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("surface"))
+    runs = docs.filter(F.col(text).isNotNull()).select(key, F.explode(word_runs(F.col(text), max_words)).alias("r")).select(key, "r.start", "r.end", "r.surface")
     return runs.withColumn("term", F.lower("surface")).join(dictionary, "term")
 
 
@@ -57,22 +64,30 @@ def token_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -
 
 def negation(text: Column, start: Column, window: int = NEGATION_WINDOW) -> Column:
     """'negated' if a cue is among the ``window`` blank-separated tokens before the span, else 'not_negated'."""
-    before = T.tokens(F.lower(F.substr(text, F.lit(1), start)))
-    near = F.slice(before, F.greatest(F.size(before) - window + 1, F.lit(1)), F.lit(window))
-    return F.when(F.arrays_overlap(near, F.array(*map(F.lit, NEGATION_CUES))), "negated").otherwise("not_negated")
-
-
-def temporality(text: Column, label: Column | None = None, default: str | None = None) -> Column:
-    """The first of past, chronic, current and future of which the text has a cue; null where the label takes none."""
-    found = T.tokens(F.lower(text))
-    out = F.lit(default).cast("string")
-    for value, cues in reversed(TEMPORAL_CUES.items()):
-        out = F.when(F.arrays_overlap(found, F.array(*map(F.lit, cues))), value).otherwise(out)
-    if label is None:
+    cues = F.array(*map(F.lit, NEGATION_CUES))
+    near = lambda before: F.slice(before, F.greatest(F.size(before) - window + 1, F.lit(1)), F.lit(window))
+    negated = let(T.tokens(F.lower(F.substr(text, F.lit(1), start))), lambda before: F.arrays_overlap(near(before), cues))
+    return F.when(negated, "negated").otherwise("not_negated")
+
+
+def temporality(text: Column, default: str | None = None) -> Column:
+    """The first of past, chronic, current and future of which the text has a cue."""
+
+    def first(found: Column) -> Column:
+        out = F.lit(default).cast("string")
+        for value, cues in reversed(TEMPORAL_CUES.items()):
+            out = F.when(F.arrays_overlap(found, F.array(*map(F.lit, cues))), value).otherwise(out)
         return out
+
+    return let(T.tokens(F.lower(text)), first)
+
+
+def temporality_of(label: Column, value: Column) -> Column:
+    """The value where the label takes it, else null."""
+    out = F.lit(None).cast("string")
     for name, values in TEMPORALITIES.items():
-        out = F.when((label == name) & ~out.isin(*values), F.lit(None)).otherwise(out)
-    return F.when(label.isin(*TEMPORALITIES), out)
+        out = F.when((label == name) & value.isin(*values), value).otherwise(out)
+    return out
 
 
 def annotate(docs: DataFrame, dictionary: DataFrame, key: str = "record_id", text: str = "text", max_entities: int = MAX_ENTITIES) -> DataFrame:
@@ -83,13 +98,15 @@ def annotate(docs: DataFrame, dictionary: DataFrame, key: str = "record_id", tex
     """
     found = dictionary_matches(docs, dictionary, key, text)
     order = Window.partitionBy(key).orderBy("start", "end", "label", "concept_id")
-    found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_entities).join(docs.select(key, F.col(text).alias("_text")), key)
+    found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_entities).join(docs.select(key, F.col(text).alias("_text"), temporality(F.col(text)).alias("_time")), key)
     entity = F.struct(
         F.format_string("ent_%06d", F.col("n") - 1).alias("id"), F.col("surface").alias("text"), "start", "end", "label", "concept_id", "concept_name", "dictionary",
-        negation(F.col("_text"), F.col("start")).alias("negation"), temporality(F.col("_text"), F.col("label")).alias("temporality"), F.lit(1.0).alias("confidence"),
+        negation(F.col("_text"), F.col("start")).alias("negation"), temporality_of(F.col("label"), F.col("_time")).alias("temporality"), F.lit(1.0).alias("confidence"),
         F.lit("dict_auto").alias("source"), F.create_map().cast("map<string,string>").alias("meta"),
     )
-    lists = found.select(key, entity.alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("entities"))
+    # a record's own entities, at most max_entities of them
+    lists = found.select(key, F.struct("n", entity.alias("e")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x"), lambda a, b: a["n"] - b["n"]).alias("x"))
+    lists = lists.select(key, F.transform("x", lambda x: x["e"]).alias("entities"))
     empty = F.array().cast(lists.schema["entities"].dataType)
     return docs.select(key, text).join(lists, key, "left").withColumn("entities", F.coalesce("entities", empty))
 

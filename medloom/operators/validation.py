@@ -82,7 +82,9 @@ def record_errors(entities: Column, max_entities: int = MAX_ENTITIES) -> Column:
 
 def parse_entities(c: Column) -> Column:
     """Entities from JSON; anything that is no list of objects gives an empty list, missing fields their defaults."""
-    parsed = F.filter(F.coalesce(F.from_json(c, ENTITIES, {"mode": "PERMISSIVE"}), F.array().cast(ENTITIES)), lambda e: e.isNotNull())
+    # from_json would keep the sound start of a broken list
+    sound = F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*\["), F.from_json(c, ENTITIES, {"mode": "PERMISSIVE"}))
+    parsed = F.filter(F.coalesce(sound, F.array().cast(ENTITIES)), lambda e: e.isNotNull())
     default = lambda e: e.withField("dictionary", F.coalesce(e["dictionary"], F.lit("mesh"))).withField(
         "negation", F.when(e["negation"].isin(*NEGATIONS), e["negation"]).otherwise("unknown")
     ).withField("source", F.when(e["source"].isin(*PROVENANCES), e["source"]).otherwise("manual"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medloom.functions.values import let
+
 #: Rows of an index block; queries meet one block at a time.
 BLOCK = 4096
 
@@ -14,7 +16,7 @@ BLOCK = 4096
 def unit(c: Column) -> Column:
     """A vector of length 1 in double precision; a zero vector stays zero."""
     length = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(c, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
+    return let(length, lambda n: F.transform(c, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:
