@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from medloom.functions import text as T
 from medloom.functions.values import let
@@ -17,21 +16,25 @@ MAX_ENTITIES, NEGATION_WINDOW = 300, 12
 _WORD = re.compile(r"\w+")
 
 
-_RUN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("surface", StringType())])
+def word_runs(docs: DataFrame, key: str, text: str, max_words: int) -> DataFrame:
+    """(key, start, end, surface) of every run of one to ``max_words`` words of each text."""
+    rows = docs.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null")
 
+    def run(batches):
+        for batch in batches:
+            at, starts, ends, surfaces = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                spans = [m.span() for m in _WORD.finditer(t)]
+                for j, (a, _) in enumerate(spans):
+                    for _, b in spans[j : j + max_words]:
+                        at.append(i)
+                        starts.append(a)
+                        ends.append(b)
+                        surfaces.append(t[a:b])
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "surface"])
 
-def word_runs(text: Column, max_words: int) -> Column:
-    """Start, end and text of every run of one to ``max_words`` words."""
-
-    @F.pandas_udf(ArrayType(_RUN))
-    def runs(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            spans = [m.span() for m in _WORD.finditer(t or "")]
-            out.append([{"start": a, "end": b, "surface": t[a:b]} for i, (a, _) in enumerate(spans) for _, b in spans[i : i + max_words]])
-        return pd.Series(out)
-
-    return runs(text)
+    return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, start int, end int, surface string")
 
 
 def label_dictionary(vocabulary: DataFrame, max_synonyms: int = 8) -> DataFrame:
@@ -52,8 +55,7 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: s
     that don't start and end with a word character, can't match. Null and blank texts have no rows.
     """
     dictionary = dictionary.withColumn("term", F.lower(T.strip(F.col("term")))).filter("term <> ''")
-    runs = docs.filter(F.col(text).isNotNull()).select(key, F.explode(word_runs(F.col(text), max_words)).alias("r")).select(key, "r.start", "r.end", "r.surface")
-    return runs.withColumn("term", F.lower("surface")).join(dictionary, "term")
+    return word_runs(docs, key, text, max_words).withColumn("term", F.lower("surface")).join(dictionary, "term")
 
 
 def token_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:
