@@ -48,4 +48,21 @@ def p4_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_flags": p3_flags, "p4_found": p4_found, "p4_intervals": p4_intervals, "p4_descendants": p4_descendants}
-SQL: dict[str, str] = {}
+
+_NODES = r"""i0 AS (SELECT upper(regexp_replace(code, '[^\p{L}\p{Nd}]', '', 'g')) AS node, arg_min(upper(regexp_replace(coalesce(parent, ''), '[^\p{L}\p{Nd}]', '', 'g')), row_no) AS parent
+      FROM icd10_nodes WHERE regexp_replace(code, '[^\p{L}\p{Nd}]', '', 'g') <> '' GROUP BY 1),
+    m0 AS (SELECT DISTINCT upper(unnest(regexp_extract_all(tree_numbers, '[A-Za-z][0-9]{2}(?:\.[0-9]+)*'))) AS node FROM mesh),
+    m1 AS (SELECT a.node, arg_max(b.node, length(b.node)) AS parent FROM m0 a LEFT JOIN m0 b ON starts_with(a.node, b.node || '.') GROUP BY a.node),
+    nodes AS (SELECT 'icd10' AS hierarchy, node, CASE WHEN parent IN (SELECT node FROM i0) THEN parent END AS parent FROM i0 UNION ALL SELECT 'mesh', node, parent FROM m1),
+    down AS (SELECT hierarchy, node, node AS root_node, 0 AS node_depth, node AS node_path FROM nodes WHERE parent IS NULL UNION ALL
+             SELECT n.hierarchy, n.node, d.root_node, d.node_depth + 1, d.node_path || ' > ' || n.node FROM nodes n JOIN down d ON d.hierarchy = n.hierarchy AND d.node = n.parent),
+    lost AS (SELECT * FROM nodes ANTI JOIN down USING (hierarchy, node)),
+    climb AS (SELECT hierarchy, node AS start, parent AS at FROM lost UNION SELECT c.hierarchy, c.start, l.parent FROM climb c JOIN lost l ON l.hierarchy = c.hierarchy AND l.node = c.at)"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE {_NODES} SELECT hierarchy, node, root_node, node_depth::INTEGER AS node_depth, node_path FROM down UNION ALL
+        SELECT hierarchy, node, CASE WHEN EXISTS (SELECT 1 FROM climb c WHERE c.hierarchy = lost.hierarchy AND c.start = lost.node AND c.at = lost.node) THEN 'CYCLE' ELSE 'BELOW_CYCLE' END, -1, '' FROM lost""",
+    "p4_descendants": f"""WITH RECURSIVE {_NODES}, up AS (SELECT n.hierarchy, n.node, n.parent AS ancestor, 1 AS distance FROM nodes n JOIN down USING (hierarchy, node) WHERE n.parent IS NOT NULL UNION ALL
+        SELECT u.hierarchy, u.node, n.parent, u.distance + 1 FROM up u JOIN nodes n ON n.hierarchy = u.hierarchy AND n.node = u.ancestor WHERE n.parent IS NOT NULL)
+        SELECT hierarchy, ancestor, node, distance::INTEGER AS distance FROM up""",
+}
