@@ -70,17 +70,19 @@ def classifier(kind: str = "logreg", **options):
 
 
 def train(df: DataFrame, kind: str = "logreg", settings: Features = Features(), text: str = "text", label: str = "label", **options) -> PipelineModel:
-    """One model from text to predicted label: label index (alphabetical), features, classifier, label names."""
-    labels = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
+    """One model from text to predicted label: label index (alphabetical), features, classifier, label names.
+
+    Rows with a null label are left out."""
+    labels = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip").fit(df)
     features = fit_features(df, settings, text)
     ready = features.transform(labels.transform(df))
     fitted = classifier(kind, **options).fit(ready)
-    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels.labels + ["__unknown"])
+    names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=labels.labels)
     return PipelineModel(stages=[features, fitted, names])
 
 
 def classes(model: PipelineModel) -> list[str]:
-    return model.stages[-1].getLabels()[:-1]
+    return model.stages[-1].getLabels()
 
 
 def predict(model: Transformer, df: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def texts(spark: SparkSession, folder: str, endings: tuple[str, ...] = (".txt",)
     ``bad_bytes``: 'replace' keeps U+FFFD for what is no UTF-8, 'ignore' drops it. ``limit`` takes the first files by path.
     """
     require(folder, folder=True)
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(folder)
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("name"), F.col("value").alias("text"))
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive)
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), _file_name().alias("name"), F.make_valid_utf8("value").alias("text"))
     rows = rows.filter(F.lower("name").rlike("(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$"))
     if bad_bytes == "ignore":
         rows = rows.withColumn("text", F.replace("text", F.lit("�"), F.lit("")))
@@ -89,7 +89,7 @@ def vocabulary_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(filename, label) of a JSON object of file names to lists of labels; unknown labels are dropped."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     rows = whole.select(F.explode("m").alias("filename", "labels")).select("filename", F.explode(F.from_json("labels", "array<string>")).alias("label"))
     return rows.select("filename", T.strip(F.col("label")).alias("label")).filter(F.col("label").isin(*schemas.DOCUMENT_LABELS))
 
