@@ -40,10 +40,10 @@ class Plan:
 def fit_budget(budget: int, counts: dict[int, int]) -> dict[int, int]:
     """Numbers of documents by length whose lengths add up to the largest reachable total within the budget.
 
-    First a proportional share of every length is taken, rounded down, then whole documents, the most underrepresented
-    lengths first, until less than twice the longest length is open. The rest is a bounded-knapsack subset-sum on bit
-    sets. The proportional part only decides which lengths are used; the total is exact unless no subset of the free
-    documents fills the rest.
+    First a proportional share of every length is taken, rounded down, then single documents, the most underrepresented
+    lengths first, until at most twice the longest length is open; where less is open, short documents are given back. The
+    rest is a bounded-knapsack subset-sum on bit sets over all documents not taken. The total is exact unless no subset
+    of those fills the rest.
     """
     total = sum(length * n for length, n in counts.items())
     if budget >= total:
@@ -58,6 +58,11 @@ def fit_budget(budget: int, counts: dict[int, int]) -> dict[int, int]:
         if take[length] < counts[length] and length <= rest:
             take[length] += 1
             rest -= length
+    # short documents are given back until there is room to fit the rest exactly
+    for length in sorted(counts):
+        back = min(take[length], max(0, -(-(2 * longest - rest) // length))) if length else 0
+        take[length] -= back
+        rest += back * length
     free = {length: min(counts[length] - take[length], rest // length) for length in counts if 0 < length <= rest}
     # binary splitting of the bounds, one bit set of reachable sums for each item
     items = []

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medloom.functions.values import let
 from medloom.runtime import cut
 
 SUBSTRINGS = 8
@@ -41,7 +42,7 @@ def usable(df: DataFrame, key: str, vector: str, dims: int = 64) -> DataFrame:
     rows = df.filter(F.col(f"`{key}`").isNotNull() & (F.size(v) == dims)).filter(finite & F.exists(v, lambda x: x != 0))
     one = rows.groupBy(F.col(f"`{key}`").alias("key")).agg(F.min(v).alias("v"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return one.withColumn("length", length).select("key", F.transform("v", lambda x: x.cast("double") / F.col("length")).alias("unit"))
+    return one.select("key", let(length, lambda n: F.transform("v", lambda x: x.cast("double") / n)).alias("unit"))
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +175,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
-            return pd.DataFrame({"key": [], "other": [], "cosine": []})
+            return pd.DataFrame({"key": pd.Series([], dtype=str), "other": pd.Series([], dtype=str), "cosine": np.empty(0)})
         v = v.sort_values("key", ignore_index=True)
         cosine = np.stack(q["unit"].to_numpy()) @ np.stack(v["unit"].to_numpy()).T
         cosine = np.round(cosine, 9)

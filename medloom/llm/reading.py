@@ -90,7 +90,7 @@ def _arrays(batch):
     words = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] if len(ends) else np.empty(0, np.int32)
     grade = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
     half = batch.column(3).to_numpy(zero_copy_only=False)
-    return words, ends - ends[0], grade, half
+    return words, ends - (ends[0] if len(ends) else 0), grade, half
 
 
 def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "reading_level", iterations: int = ITERATIONS, buckets: int = BUCKETS) -> DataFrame:

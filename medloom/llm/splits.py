@@ -56,8 +56,10 @@ def assign(rows: DataFrame, entity: str, fallback: str, groups: DataFrame, split
     """``rows`` with component and split.
 
     ``entity`` is the entity's node (null: the row has none and goes by ``fallback``, e.g. a digest of its text, so that
-    repeats of it stay together); an entity without links is a component of its own.
+    repeats of it stay together); an entity without links is a component of its own. Columns component and split that
+    ``rows`` already has are replaced.
     """
+    rows = rows.drop(*{"component", "split"} - {entity, fallback})
     known = rows.filter(F.col(entity).isNotNull()).join(groups.withColumnRenamed("node", entity), entity, "left")
     known = known.withColumn("component", F.coalesce("component", entity))
     alone = rows.filter(F.col(entity).isNull()).withColumn("component", F.col(fallback))
