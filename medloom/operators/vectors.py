@@ -27,6 +27,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(unit(a), unit(b))
 
 
+def best_of_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k highest scores of each row, highest first, the lower column first among equals."""
+    if score.shape[1] > k:
+        keep = score >= np.partition(score, -k, axis=1)[:, -k, None]
+    else:
+        keep = np.ones(score.shape, bool)
+    rows, columns = np.nonzero(keep)
+    order = np.lexsort((columns, -score[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < k], columns[nth < k]
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """(query_id, entry_id, score, rank) of the k entries with the highest cosine for each query.
 
@@ -51,9 +64,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6) -
         width = len(q["vector"].iloc[0])
         q, e = q[q["vector"].map(len) == width], e[e["vector"].map(len) == width]
         score = np.round(np.stack(q["vector"].to_numpy()) @ np.stack(e["vector"].to_numpy()).T, digits)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "entry_id": e["entry_id"].to_numpy()[best.ravel()], "score": score[rows, best.ravel()]})
+        rows, columns = best_of_rows(score, k)
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "entry_id": e["entry_id"].to_numpy()[columns], "score": score[rows, columns]})
 
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(meet, f"query_id {kinds[0]}, entry_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("entry_id"))
