@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.functions.values import let
+from medloom.operators.vectors import best_of_rows
 from medloom.runtime import cut
 
 SUBSTRINGS = 8
@@ -181,9 +182,8 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
         cosine = np.round(cosine, 9)
         keys, others = q["key"].to_numpy(), v["key"].to_numpy()
         cosine[keys[:, None] == others[None]] = -2
-        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        at = np.repeat(np.arange(len(keys)), best.shape[1])
-        out = pd.DataFrame({"key": keys[at], "other": others[best.ravel()], "cosine": cosine[at, best.ravel()]})
+        at, best = best_of_rows(cosine, k)
+        out = pd.DataFrame({"key": keys[at], "other": others[best], "cosine": cosine[at, best]})
         return out[out["cosine"] > -2]
 
     met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(search, "key string, other string, cosine double")
