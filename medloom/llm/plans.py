@@ -159,6 +159,11 @@ QUERIES = {
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_levels": p9_levels,
 }
+_COSINES = """
+        WITH v AS (SELECT ui, min(vector) AS vector FROM (SELECT ui, vector::DOUBLE[] AS vector FROM mesh_embeddings WHERE ui IS NOT NULL AND len(vector) = 64)
+            WHERE len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ui),
+          c AS (SELECT x.ui AS a, y.ui AS b, list_cosine_similarity(x.vector, y.vector) AS cosine FROM v x JOIN v y ON x.ui <> y.ui),
+          near AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS nth FROM c QUALIFY nth <= 10)"""
 SQL: dict[str, str] = {
     "p1_found": r"""
         SELECT tbl, item_id, CASE WHEN max(longest) > 2000 THEN 'forced' ELSE 'boundary' END AS cut FROM (
@@ -172,11 +177,9 @@ SQL: dict[str, str] = {
           near AS (SELECT DISTINCT x.p AS a, y.p AS b FROM s x JOIN s y USING (a) WHERE x.p <> y.p),
           far AS (SELECT a, b FROM near UNION SELECT f.a, n.b FROM far f JOIN near n ON n.a = f.b)
         SELECT DISTINCT 'PAT-' || a AS patient_a, 'PAT-' || b AS patient_b FROM far WHERE a < b""",
-    "p5_found": """
-        WITH v AS (SELECT ui, min(vector) AS vector FROM (SELECT ui, vector::DOUBLE[] AS vector FROM mesh_embeddings WHERE ui IS NOT NULL AND len(vector) = 64)
-            WHERE len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ui),
-          c AS (SELECT x.ui AS a, y.ui AS b, list_cosine_similarity(x.vector, y.vector) AS cosine FROM v x JOIN v y ON x.ui <> y.ui),
-          near AS (SELECT a, b, cosine FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) <= 10)
+    "p5_found": f"""{_COSINES}
         SELECT x.a AS ui_a, x.b AS ui_b FROM near x JOIN near y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.cosine >= 0.95""",
+    "p5_topk": f"""{_COSINES}
+        SELECT a AS ui, b AS other_ui, round(cosine, 6) AS cosine, nth::INTEGER AS nth FROM near WHERE CAST(regexp_extract(a, '(\\d+)$', 1) AS BIGINT) % 50 = 0""",
     "p7_roundtrip": "SELECT true AS same, count(*) AS n_docs FROM documents",
 }
