@@ -55,9 +55,10 @@ PARTICLES = frozenset("de la le les du des d l van der den von o".split())
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŒ", "a-zß-öø-ÿœ"
 _WORD = rf"(?:[OoDdLl]['’])?[{_UP}](?:['’]?[{_UP}{_LOW}]+)+"
 _UNIT = rf"(?:{_WORD}(?:-{_WORD})*|[{_UP}]\.(?:-[{_UP}]\.)*)"
-_GLUE = r"(?:(?:de la|de|du|des|van der|van|von|le) |d['’])"
+_B = r"[ \u00a0\u202f]"
+_GLUE = rf"(?:(?:de{_B}la|de|du|des|van{_B}der|van|von|le){_B}|d['’])"
 #: A run of capitalised words, initials and particles, with one more word after a comma.
-RUN = re.compile(rf"(?<![\w@.+'’-]){_UNIT}(?: {_GLUE}?{_UNIT})*(?:, {_WORD}(?:-{_WORD})*)?(?![\w@+]|\.\w)")
+RUN = re.compile(rf"(?<![\w@.+'’-]){_UNIT}(?:{_B}{_GLUE}?{_UNIT})*(?:,{_B}{_WORD}(?:-{_WORD})*)?(?![\w@+]|\.\w)")
 _PIECES = re.compile(rf"[{_UP}{_LOW}]+(?:['’][{_UP}{_LOW}]+)?\.?")
 _LEAD = re.compile(rf"(?:{_GLUE})+$")
 _START = re.compile(r"(?:^|[.!?;:)»>]\s+|\n\s*(?:[-•*]\s*)?)$")
@@ -71,7 +72,7 @@ PHONE = re.compile(
 _BRACKETED = re.compile(rf"\((?:(?:\+|00)\d|0\d)")
 EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[\w.+-]*\w)?(?: ?(?:@|\[at\]|\(at\)) ?| (?:at|arobase) )[A-Za-z0-9][\w-]*(?:(?:\.| (?:dot|point) )[A-Za-z0-9][\w-]*)+(?![\w@])", re.A)
 _N = r"[ .\-  ]?"
-_NIR = rf"[12]{_N}\d\d{_N}(?:0[1-9]|1[0-2]|[2-9]\d){_N}\d[\dAB]{_N}\d{{3}}{_N}\d{{3}}(?:{_N}(?:clé ?)?\d\d)?"
+_NIR = rf"[12]{_N}\d\d{_N}(?:0[1-9]|1[0-2]|[2-9]\d){_N}\d[\dAB]{_N}\d{{3}}{_N}\d{{3}}(?:{_N}(?:clé{_N})?\d\d)?"
 #: Forms that are an identity number wherever they stand.
 SURE_ID = re.compile(rf"(?<![\w.+\-])(?:{_NIR}|[A-Z]-\d{{3}}-\d{{5}}|[A-Z]{{2}} \d\d \d\d \d\d [A-Z]|\d{{3}}-\d\d-\d{{4}})(?![\w]|[.\-]\d)")
 #: Forms that are one after words that say so.
@@ -165,7 +166,7 @@ def _ahead(text: str, at: int) -> str:
 def _cued(text: str, start: int) -> bool:
     """Whether the words before a run say that a person follows."""
     before = text[max(0, start - 32) : start]
-    if before.endswith(" ") or before.endswith(" "):
+    if before[-1:] in (" ", "\u00a0", "\u202f"):
         words = before.lower().split()[-2:]
         return bool(words) and (words[-1] in CUE_WORDS or " ".join(words) in CUE_PAIRS)
     return False
@@ -264,7 +265,7 @@ class Judge:
         tokens = run.tokens
         for i, (a, b, token) in enumerate(tokens):
             word = _bare(token)
-            if i and text[tokens[i - 1][1] : a] == ", " and not self.disclosing[word]:
+            if i and text[tokens[i - 1][1] : a][:1] == "," and not self.disclosing[word]:
                 break
             if len(word) == 1:
                 # an initial is kept between or before the words of a name
