@@ -155,6 +155,20 @@ class BitSet(dict):
         return yes
 
 
+class _SmallWords(dict):
+    """Whether a stretch without white space is a disclosing word in small letters; remembers the stretches it has met."""
+
+    def __init__(self, disclosing):
+        super().__init__()
+        self.disclosing = disclosing
+
+    def __missing__(self, chunk: str) -> bool:
+        yes = chunk[0].islower() and len(chunk) > 2 and self.disclosing[chunk.strip(".,;:()<>").replace("’", "'")]
+        if len(self) < 300_000:
+            self[chunk] = yes
+        return yes
+
+
 def _ahead(text: str, at: int) -> str:
     """The two words or signs after a run, numbers alike."""
     m = _AHEAD.match(text, at)
@@ -244,6 +258,7 @@ class Judge:
 
     def __init__(self, disclosing: BitSet, harmless: BitSet, positions: BitSet):
         self.disclosing, self.harmless, self.positions = disclosing, harmless, positions
+        self.small = _SmallWords(disclosing)
 
     def names(self, text: str) -> list[tuple[int, int]]:
         """Spans of names."""
@@ -252,13 +267,10 @@ class Judge:
             kept = self._judged(text, run)
             if kept:
                 out.append(kept)
-        if any(map(self._low, text.split())):
+        if any(map(self.small.__getitem__, text.split())):
             out += self._lower(text, out)
         return out
 
-    def _low(self, chunk: str) -> bool:
-        return chunk[0].islower() and len(chunk) > 2 and self.disclosing[chunk.strip(".,;:()<>").replace("’", "'")]
-
     def _judged(self, text: str, run: Run) -> tuple[int, int] | None:
         end, strong, comma = run.start, 0, False
         first = None
