@@ -23,10 +23,11 @@ def word_windows(df: DataFrame, key: str, text: str, window: int = WINDOW, overl
     if not 0 <= overlap < window:
         raise ValueError("overlap must be smaller than the window")
     step = window - overlap
-    rows = df.select(F.col(key).alias("key"), T.words(T.collapse_spaces(F.col(text))).alias("w")).filter(F.size("w") > 0)
+    # white space is no part of a word, so the text needn't be collapsed first
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), T.words(F.col(text)).alias("w"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - window) / step).cast("int")) * step, F.lit(step))
     rows = rows.select("key", "w", F.posexplode(starts).alias("seq", "start_token"))
-    return rows.select(F.col("key").alias(key), "seq", "start_token", F.slice("w", F.col("start_token") + 1, window).alias("words")).withColumn("n_tokens", F.size("words"))
+    return rows.select(F.col("key").alias(key), "seq", "start_token", F.slice("w", F.col("start_token") + 1, window).alias("words")).withColumn("n_tokens", F.size("words")).filter("n_tokens > 0")
 
 
 def segment_texts(df: DataFrame, key: str, text: str, window: int = WINDOW, overlap: int = OVERLAP, least: int = LEAST_CHARS, prefix: str = "seg") -> DataFrame:
