@@ -1,4 +1,4 @@
-"""Queries of the reference's operators over the test tables, each with the SQL that must agree with it."""
+"""Queries of the library's operators over the test tables, each with the SQL that must agree with it."""
 
 from __future__ import annotations
 
