@@ -132,7 +132,8 @@ def patterned(text: str) -> list[tuple[int, int, str]]:
 
 #: A phone number, or one in brackets, of which only its own brackets belong to it.
 PHONE_ANY = re.compile(PHONE.pattern.replace(r"(?<![\w+.(\-])", r"(?<![\w+.\-])", 1))
-_LONG = re.compile(r"\d(?:[ .()\-  A-Z]{0,3}\d){6}|clé")
+#: Six digits close to each other, the fewest that a number of the forms above has: texts without have none.
+_LONG = re.compile(r"\d(?:[ .()\-  A-Z]{0,3}\d){5}|clé")
 
 
 def _mix(word: str) -> tuple[int, int]:

@@ -56,6 +56,20 @@ def test_items(judge, text, wanted):
     assert found(text, judge) == wanted
 
 
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("Insurance number ZZ 56 13 58 A.", [("ZZ 56 13 58 A", "IDNUM")]),
+        ("Vu ce jour, ZZ 72 05 60 A, sans suite.", [("ZZ 72 05 60 A", "IDNUM")]),
+        ("Passport AB 123456.", [("AB 123456", "IDNUM")]),
+        ("Lot AB 123456, dose 12 34 56.", []),
+    ],
+)
+def test_numbers_of_six_digits(judge, text, wanted):
+    assert found(text, judge) == wanted
+    assert personal.replaced(text, personal.items(text, judge)) == (text.replace(wanted[0][0], "[IDNUM]") if wanted else text)
+
+
 def test_placeholders(judge):
     text = "Mme Jeanne Valorne, tel 01 99 00 12 34."
     assert personal.replaced(text, personal.items(text, judge)) == "Mme [NAME], tel [PHONE]."
