@@ -80,3 +80,10 @@ def test_masks_of_every_text(spark, tmp_path):
         wanted = [(r.row_id, mask(T.EMAIL, "<EMAIL>", r.text_content), mask(T.PHONE, "<PHONE>", r.text_content)) for r in rows]
         got = [tuple(r) for r in QUERIES["mask_pii_every_text"](spark, folder).collect()]
         assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
+def test_every_vector_can_be_found(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
+    got = QUERIES["cosine_topk_all"](spark, DATA).collect()
+    assert {r.query_id for r in got} == ids and len(got) == 5 * len(ids) and all(r.query_id != r.entry_id for r in got)
+    assert any(r.entry_id % 5 == 0 for r in got)
