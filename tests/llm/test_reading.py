@@ -43,3 +43,17 @@ def test_odd_rows(spark):
 def test_same_words_same_buckets():
     ids, ends = reading._buckets(["A b 12", "a  B 7", None, ""], 1 << 16)
     assert list(ids[: ends[1]]) == list(ids[ends[1] : ends[2]]) and ends[2] == ends[3] == ends[4]
+
+
+def test_pairs_have_buckets_of_their_own():
+    some = ["rest eat walk", "eat rest", "water"]
+    ids, ends = reading._buckets(some, reading.BUCKETS)
+    alone, _ = reading._buckets([x for t in some for x in t.split()], reading.BUCKETS)
+    assert set(ids[ids < reading.BUCKETS]) == set(alone) and (ids >= reading.BUCKETS).sum() == 3 and ids.max() < reading.BUCKETS + reading.PAIRS
+    # distinct pairs that share a bucket are few
+    letters = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    text = " ".join(f"{x} {y}" for i, x in enumerate(letters) for y in letters[i : i + 100])
+    met = text.split()
+    distinct = len(set(zip(met, met[1:])))
+    ids, _ = reading._buckets([text], reading.BUCKETS)
+    assert distinct > 30_000 and (ids >= reading.BUCKETS).sum() >= 0.95 * distinct
