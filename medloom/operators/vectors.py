@@ -40,16 +40,20 @@ def best_of_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[nth < k], columns[nth < k]
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6, width: int | None = None) -> DataFrame:
     """(query_id, entry_id, score, rank) of the k entries with the highest cosine for each query.
 
     In: queries (query_id, vector), index (entry_id, vector). Scores are rounded to ``digits`` and the higher entry_id
     comes first among equals. Queries and entries meet in blocks of bounded size; a meeting is a matrix product and sends
-    k rows a query on, so the pairs are never rows. Vectors that are null, of another length than the first, or not
-    finite are left out; no entries, no rows.
+    k rows a query on, so the pairs are never rows. Vectors that are null, not finite, or of another length than
+    ``width`` (default: the most frequent length of the entries, the greater of equals) are left out; no entries, no rows.
     """
     clean = lambda df, key: df.select(key, unit(F.col("vector")).alias("vector")).filter(F.col(key).isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("vector") > 0))
     queries, index = clean(queries, "query_id"), clean(index, "entry_id")
+    if width is None:
+        most = index.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+        width = most["width"] if most else 0
+    queries, index = (df.filter(F.size("vector") == width) for df in (queries, index))
     n_q, n_i = (max(1, -(-df.count() // BLOCK)) for df in (queries, index))
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -61,8 +65,6 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 5, digits: int = 6) -
         if q.empty or e.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], "entry_id": e["entry_id"][:0], "score": np.empty(0)})
         e = e.sort_values("entry_id", ascending=False, ignore_index=True)
-        width = len(q["vector"].iloc[0])
-        q, e = q[q["vector"].map(len) == width], e[e["vector"].map(len) == width]
         score = np.round(np.stack(q["vector"].to_numpy()) @ np.stack(e["vector"].to_numpy()).T, digits)
         rows, columns = best_of_rows(score, k)
         return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "entry_id": e["entry_id"].to_numpy()[columns], "score": score[rows, columns]})

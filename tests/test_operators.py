@@ -26,6 +26,17 @@ def test_nearest(spark):
     assert vectors.nearest(query, index.limit(0), 2).count() == 0
 
 
+def test_nearest_of_one_length(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "entry_id int, vector array<float>").coalesce(1)
+    for odd in ([1.0], [1.0, 0.0, 0.0]):
+        for place in range(3):
+            rows = [(7, [1.0, 0.0]), (8, [0.0, 1.0])]
+            rows.insert(place, (9, odd))
+            got = vectors.nearest(spark.createDataFrame(rows, "query_id int, vector array<float>").coalesce(1), index, 1).collect()
+            assert sorted((r.query_id, r.entry_id, r.rank) for r in got) == [(7, 1, 1), (8, 2, 1)]
+    assert [r.entry_id for r in vectors.nearest(spark.createDataFrame([(9, [1.0, 0.0, 0.0])], "query_id int, vector array<float>"), index, 1, width=3).collect()] == [3]
+
+
 def test_labels_by_neighbours(spark):
     near = spark.createDataFrame([("f", 1, 10, 0.9, 1, "crh"), ("f", 2, 11, 0.9, 1, "crh"), ("f", 1, 12, 0.2, 2, "cro")], "doc string, query_id int, entry_id int, score double, rank int, label string")
     got = {r["label"]: r for r in vectors.label_by_neighbours(near, ["crh", "cro", "cra"], "doc", 0.55).collect()}
