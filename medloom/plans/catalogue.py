@@ -769,7 +769,7 @@ def _labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
 def logreg_predict(spark, sf):
     """Labels predicted by a logistic regression on TF-IDF, trained on four of five documents."""
     rows = _labelled_texts(spark, sf).withColumn("fold", F.pmod(F.xxhash64("filename"), F.lit(5)))
-    model = ml.train(rows.filter("fold <> 0"), "logreg", ml.Features(max_features=20_000, max_words=1), maxIter=10)
+    model = ml.train(rows.filter("fold <> 0"), "logreg")
     return ml.predict(model, rows.filter("fold = 0")).select("filename", "label", "predicted_label")
 
 

@@ -87,3 +87,11 @@ def test_every_vector_can_be_found(spark):
     got = QUERIES["cosine_topk_all"](spark, DATA).collect()
     assert {r.query_id for r in got} == ids and len(got) == 5 * len(ids) and all(r.query_id != r.entry_id for r in got)
     assert any(r.entry_id % 5 == 0 for r in got)
+
+
+def test_training_query_has_the_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(catalogue.ml, "train", lambda df, *given, **options: seen.append((given, options)))
+    monkeypatch.setattr(catalogue.ml, "predict", lambda model, df: df.withColumn("predicted_label", df.label))
+    QUERIES["logreg_predict"](spark, DATA)
+    assert seen == [(("logreg",), {})]
