@@ -49,7 +49,8 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and components of each split, with the share that was asked for."""
-    counts = _assigned(spark, sf).groupBy("tbl", "split").agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("component").alias("n_components_about"))
+    by_component = _assigned(spark, sf).groupBy("tbl", "split", "component").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_component.groupBy("tbl", "split").agg(F.sum("n").alias("n_rows"), F.count("component").alias("n_components"))
     wanted = F.create_map(*[x for k, v in splits.SPLITS.items() for x in (F.lit(k), F.lit(v))])
     return counts.withColumn("target_share", wanted[F.col("split")])
 

@@ -35,3 +35,13 @@ def test_like_sql(spark, name):
     names = [x[0] for x in cursor.description]
     df = plans.QUERIES[name](spark, DATA).select(*names)
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, cursor.fetchall()))
+
+
+def test_components_are_counted_exactly(spark):
+    wanted = {}
+    for r in plans.p2_splits(spark, DATA).collect():
+        rows, components = wanted.setdefault((r.tbl, r.split), ([], set()))
+        rows.append(r.row_key)
+        components.add(r.component)
+    got = {(r.tbl, r.split): (r.n_rows, r.n_components) for r in plans.p2_shares(spark, DATA).collect()}
+    assert got == {k: (len(rows), len(components)) for k, (rows, components) in wanted.items()}
