@@ -16,23 +16,34 @@ MAX_ENTITIES, NEGATION_WINDOW = 300, 12
 _WORD = re.compile(r"\w+")
 
 
-def word_runs(docs: DataFrame, key: str, text: str, max_words: int) -> DataFrame:
-    """(key, start, end, surface) of every run of one to ``max_words`` words of each text."""
+#: Runs of words in a batch that goes on to the join.
+RUNS = 50_000
+
+
+def word_runs(docs: DataFrame, key: str, text: str, lengths: list[int]) -> DataFrame:
+    """(key, start, end, surface) of every run of as many words as one of ``lengths`` of each text."""
     rows = docs.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null")
 
     def run(batches):
         for batch in batches:
             at, starts, ends, surfaces = [], [], [], []
+
+            def taken():
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "surface"])
+
             for i, t in enumerate(batch.column(1).to_pylist()):
                 spans = [m.span() for m in _WORD.finditer(t)]
-                for j, (a, _) in enumerate(spans):
-                    for _, b in spans[j : j + max_words]:
+                for n in lengths:
+                    for (a, _), (_, b) in zip(spans, spans[n - 1 :]):
                         at.append(i)
                         starts.append(a)
                         ends.append(b)
                         surfaces.append(t[a:b])
-            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "surface"])
+                        if len(at) >= RUNS:
+                            yield taken()
+                            at, starts, ends, surfaces = [], [], [], []
+            yield taken()
 
     return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, start int, end int, surface string")
 
@@ -47,15 +58,17 @@ def label_dictionary(vocabulary: DataFrame, max_synonyms: int = 8) -> DataFrame:
     return rows.groupBy("term").agg(F.min(F.struct("line_no", "pos", "ui")).alias("m")).select("term", F.col("m.ui").alias("ui"))
 
 
-def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str, max_words: int = 4) -> DataFrame:
+def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str, max_words: int | None = None) -> DataFrame:
     """Whole-word occurrences of dictionary terms in any case: (key, term, start, end, surface, and the dictionary's columns).
 
-    Every run of up to ``max_words`` words is joined to the terms by equality, so neither side is looped over: the join
-    is on the text of the run, and Catalyst broadcasts the dictionary only if it is small enough. Longer terms, and terms
-    that don't start and end with a word character, can't match. Null and blank texts have no rows.
+    Every run of as many words as some term has (with ``max_words``, of up to so many) is joined to the terms by equality, so neither side is looped over: the join
+    is on the text of the run, and Catalyst broadcasts the dictionary only if it is small enough. Terms that don't start
+    and end with a word character can't match. Null and blank texts have no rows.
     """
     dictionary = dictionary.withColumn("term", F.lower(T.strip(F.col("term")))).filter("term <> ''")
-    return word_runs(docs, key, text, max_words).withColumn("term", F.lower("surface")).join(dictionary, "term")
+    words = dictionary.select(F.size(T.words(F.col("term"))).alias("n")).filter("n > 0").distinct()
+    lengths = sorted(r["n"] for r in words.collect() if max_words is None or r["n"] <= max_words)
+    return word_runs(docs, key, text, lengths).withColumn("term", F.lower("surface")).join(dictionary, "term")
 
 
 def token_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:

@@ -71,6 +71,15 @@ def test_search(spark, vocabulary):
     assert fulltext.substring_search(flat, "p", "DIAB", "ui").count() == 1
 
 
+def test_dictionary_of_long_terms(spark):
+    long = "acute respiratory distress syndrome of the very-low-birth newborn"
+    dictionary = spark.createDataFrame([(long,), ("asthma",), ("x y z v w",)], "term string")
+    docs = spark.createDataFrame([(1, f"Known {long.capitalize()}, no asthma; x y z v."), (2, None), (3, "")], "doc_id int, text string")
+    got = entities.dictionary_matches(docs, dictionary, "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.start, r.term, r.surface) for r in got) == [(1, 6, long, long.capitalize()), (1, 6 + len(long) + 5, "asthma", "asthma")]
+    assert entities.dictionary_matches(docs, dictionary.limit(0), "doc_id", "text").count() == 0
+
+
 def test_dictionary(spark, vocabulary):
     terms = {r.term: r.ui for r in entities.label_dictionary(vocabulary).collect()}
     assert terms["htn"] == "D000002" and len(terms) == 9
