@@ -24,8 +24,10 @@ def frame(spark, parents, name="h"):
     return spark.createDataFrame([(name, k, v, 7) for k, v in parents.items()], "hierarchy string, node string, parent string, id int")
 
 
+# 8 rows a task: ranges contract, what crosses them is followed by splitters and again by ranges
+@pytest.mark.parametrize("size", [hierarchy.RANGE, 8])
 @pytest.mark.parametrize("shape", ["mixed", "chain", "star", "cycles"])
-def test_like_brute_force(spark, shape, monkeypatch):
+def test_like_brute_force(spark, shape, size, monkeypatch):
     monkeypatch.setattr(hierarchy, "BLOCK", 16)
     rng = random.Random(3)
     names = [f"n{i:03d}" for i in range(60)]
@@ -35,7 +37,7 @@ def test_like_brute_force(spark, shape, monkeypatch):
         "star": {n: names[0] if i else None for i, n in enumerate(names)},
         "cycles": {n: names[(i + 1) % 3] if i < 3 else names[i - 1] if i < 20 else n if i == 20 else None for i, n in enumerate(names)},
     }[shape]
-    got = hierarchy.hierarchies(frame(spark, parents)).collect()
+    got = hierarchy.hierarchies(frame(spark, parents), size).collect()
     assert {r.node: (r.root_node, r.node_depth, r.node_path) for r in got} == brute(parents)
     inside = [r for r in got if r.node_depth >= 0]
     for r in inside:
