@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medloom.operators import hierarchy
+from medloom.runtime import cut
 
 
 def _nodes(tree: DataFrame) -> DataFrame:
@@ -35,8 +36,14 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 
 def roll_up(tree: DataFrame, levels: int) -> DataFrame:
-    """(code, rolled) where rolled is so many parents up, null if there are fewer."""
-    if levels == 0:
-        return tree.select("code", F.col("code").alias("rolled"))
-    up = ancestors(tree).filter(F.col("distance") == levels).select("code", F.col("ancestor").alias("rolled"))
-    return tree.select("code").join(up, "code", "left")
+    """(code, rolled) where rolled is so many parents up, null if there are fewer: one join a level.
+
+    Nodes on or below a cycle have none.
+    """
+    known = parents(tree)
+    if levels:
+        known = cut(known.join(hierarchy.rooted(_nodes(tree)).select(F.col("node").alias("code")), "code", "left_semi"))
+    out = tree.select("code", F.col("code").alias("rolled"))
+    for _ in range(levels):
+        out = out.join(known.select(F.col("code").alias("rolled"), "parent"), "rolled", "left").select("code", F.col("parent").alias("rolled"))
+    return out

@@ -18,8 +18,10 @@ def session(master: str = "local[*]", app: str = "medloom", **conf: str) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.sql.shuffle.partitions": "8",
     }
+    if master.startswith("local"):
+        # a cluster's own setting holds there; adaptive execution joins what is too small
+        defaults["spark.sql.shuffle.partitions"] = str(os.cpu_count() or 8)
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -31,11 +33,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The application's folder under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-    temporary one."""
+    """The application's folder under ``spark.checkpoint.dir``. Only where that is unset and everything runs on one machine
+    a temporary one; on a cluster that would be a folder of each machine's own, so there it is an error."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = context.getConf().get("spark.checkpoint.dir")
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="medloom-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
