@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,39 +14,51 @@ from medloom.functions.values import let
 from medloom.schemas import NEGATION_CUES, TEMPORAL_CUES, TEMPORALITIES
 
 MAX_ENTITIES, NEGATION_WINDOW = 300, 12
-_WORD = re.compile(r"\w+")
+#: Terms and characters one automaton holds; a larger dictionary is several, each of which passes over the texts.
+TERMS, CHARACTERS = 200_000, 3_000_000
+#: Matches in a batch that leaves a task.
+MATCHES = 50_000
+#: Automata a worker keeps, by what they were made of.
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
-#: Runs of words in a batch that goes on to the join.
-RUNS = 50_000
+def _lowered(text: str) -> str:
+    """Small letters, as many characters as before."""
+    small = text.lower()
+    return small if len(small) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def word_runs(docs: DataFrame, key: str, text: str, lengths: list[int]) -> DataFrame:
-    """(key, start, end, surface) of every run of as many words as one of ``lengths`` of each text."""
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).filter("_text is not null")
+def _wordlike(c: str) -> bool:
+    return c.isalnum() or c == "_"
 
-    def run(batches):
-        for batch in batches:
-            at, starts, ends, surfaces = [], [], [], []
 
-            def taken():
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())]
-                return pa.RecordBatch.from_arrays(columns, names=[key, "start", "end", "surface"])
+def _automaton(name: str, terms: list[str]) -> ahocorasick.Automaton:
+    if name not in _automata:
+        made = ahocorasick.Automaton()
+        for term in terms:
+            made.add_word(term, term)
+        made.make_automaton()
+        if len(_automata) >= 2:
+            _automata.clear()
+        _automata[name] = made
+    return _automata[name]
 
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                spans = [m.span() for m in _WORD.finditer(t)]
-                for n in lengths:
-                    for (a, _), (_, b) in zip(spans, spans[n - 1 :]):
-                        at.append(i)
-                        starts.append(a)
-                        ends.append(b)
-                        surfaces.append(t[a:b])
-                        if len(at) >= RUNS:
-                            yield taken()
-                            at, starts, ends, surfaces = [], [], [], []
-            yield taken()
 
-    return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, start int, end int, surface string")
+def term_matches(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
+    """(start, end, term) of every occurrence of a term between word boundaries; those of one term don't overlap.
+
+    A boundary lies between a word character and another one, so before a term that begins with a bracket, say, a word
+    character must stand.
+    """
+    small, out, upto = _lowered(text), [], {}
+    for last, term in automaton.iter(small):
+        end = last + 1
+        start = end - len(term)
+        before, after = start > 0 and _wordlike(small[start - 1]), end < len(small) and _wordlike(small[end])
+        if before != _wordlike(term[0]) and after != _wordlike(term[-1]) and upto.get(term, 0) <= start:
+            upto[term] = end
+            out.append((start, end, term))
+    return out
 
 
 def label_dictionary(vocabulary: DataFrame, max_synonyms: int = 8) -> DataFrame:
@@ -58,17 +71,57 @@ def label_dictionary(vocabulary: DataFrame, max_synonyms: int = 8) -> DataFrame:
     return rows.groupBy("term").agg(F.min(F.struct("line_no", "pos", "ui")).alias("m")).select("term", F.col("m.ui").alias("ui"))
 
 
-def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str, max_words: int | None = None) -> DataFrame:
-    """Whole-word occurrences of dictionary terms in any case: (key, term, start, end, surface, and the dictionary's columns).
+def _chunks(terms: DataFrame, most: int, characters: int):
+    """Lists of terms of bounded size, one at a time on the driver."""
+    chunk, size = [], 0
+    for row in terms.toLocalIterator():
+        if chunk and (len(chunk) >= most or size + len(row[0]) > characters):
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(row[0])
+        size += len(row[0])
+    if chunk:
+        yield chunk
+
+
+def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str, most: int = TERMS, characters: int = CHARACTERS) -> DataFrame:
+    """Occurrences of dictionary terms between word boundaries, in any case: (key, term, start, end, surface, and the
+    dictionary's columns).
 
-    Every run of as many words as some term has (with ``max_words``, of up to so many) is joined to the terms by equality, so neither side is looped over: the join
-    is on the text of the run, and Catalyst broadcasts the dictionary only if it is small enough. Terms that don't start
-    and end with a word character can't match. Null and blank texts have no rows.
+    Terms of any length and with any signs match. Each text is read once by an automaton of all terms; a dictionary of
+    more than ``most`` terms or so many ``characters`` becomes several automata of at most that size, each of which
+    reads the texts. Nothing but the matches is shuffled, to fetch the dictionary's columns. Null and blank texts and an
+    empty dictionary have no rows; a term that several rows have matches for each.
     """
     dictionary = dictionary.withColumn("term", F.lower(T.strip(F.col("term")))).filter("term <> ''")
-    words = dictionary.select(F.size(T.words(F.col("term"))).alias("n")).filter("n > 0").distinct()
-    lengths = sorted(r["n"] for r in words.collect() if max_words is None or r["n"] <= max_words)
-    return word_runs(docs, key, text, lengths).withColumn("term", F.lower("surface")).join(dictionary, "term")
+    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).filter("_text is not null")
+    schema = f"`{key}` {rows.dtypes[0][1]}, term string, start int, end int, surface string"
+    found = rows.filter(F.lit(False)).select(key, *[F.lit(None).cast(kind).alias(c) for c, kind in (("term", "string"), ("start", "int"), ("end", "int"), ("surface", "string"))])
+    for terms in _chunks(dictionary.select("term").distinct(), most, characters):
+        found = found.unionByName(rows.mapInArrow(_searcher(rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, terms)), key), schema))
+    return found.join(dictionary, "term").select(key, "term", "start", "end", "surface", *[c for c in dictionary.columns if c != "term"])
+
+
+def _searcher(shared, key: str):
+    def run(batches):
+        automaton = _automaton(*shared.value)
+        for batch in batches:
+            at, spans = [], []
+
+            def taken():
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[2] for x in spans], pa.string()), *[pa.array([x[i] for x in spans], pa.int32()) for i in range(2)], pa.array([x[3] for x in spans], pa.string())]
+                return pa.RecordBatch.from_arrays(columns, names=[key, "term", "start", "end", "surface"])
+
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = term_matches(t, automaton)
+                at += [i] * len(found)
+                spans += [(a, b, term, t[a:b]) for a, b, term in found]
+                if len(at) >= MATCHES:
+                    yield taken()
+                    at, spans = [], []
+            yield taken()
+
+    return run
 
 
 def token_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str) -> DataFrame:

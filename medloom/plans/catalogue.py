@@ -433,38 +433,61 @@ def dictionary_tokens(spark, sf):
     return entities.token_matches(_docs(spark, sf), words, "doc_id", "text")
 
 
-def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of the vocabulary's synonyms written one to a row, as diseases."""
-    from medloom.operators.packed import explode_packed
+#: Terms of the vocabulary's synonyms as they stand between the two signs that mostly divide them, with any other signs.
+_DICT = f"""SELECT lower(item) AS term, min(ui) AS concept_id, min(item) AS concept_name FROM (SELECT ui, {_STRIP("unnest(regexp_split_to_array(concat_ws('|', preferred_terms, synonyms), '[|;]'))")} AS item
+    FROM mesh WHERE trim(ui) <> '') WHERE item <> '' GROUP BY 1"""
+
 
-    terms = explode_packed(table(spark, sf, "mesh"), "line_no", {"preferred_terms": "terms", "synonyms": "terms"}, "mesh")
-    named = terms.join(table(spark, sf, "mesh").select(F.col("line_no").alias("row_no"), "ui"), "row_no").filter("ui is not null and trim(ui) <> ''")
-    one = named.groupBy(F.lower("item").alias("term")).agg(F.min("ui").alias("concept_id"), F.min("item").alias("concept_name"))
+def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the vocabulary written one to a row, as diseases."""
+    cells = table(spark, sf, "mesh").filter("trim(ui) <> ''").select("ui", F.explode(F.split(F.concat_ws("|", "preferred_terms", "synonyms"), "[|;]")).alias("item"))
+    one = cells.withColumn("item", T.strip(F.col("item"))).filter("item <> ''").groupBy(F.lower("item").alias("term")).agg(F.min("ui").alias("concept_id"), F.min("item").alias("concept_name"))
     return one.withColumns({"dictionary": F.lit("mesh"), "label": F.lit("DISEASE")})
 
 
-@query()
+def _spans_sql(rows: str, key: str) -> str:
+    """Occurrences of the terms between word boundaries: pieces of the text between them, added up, give the places."""
+    edge = lambda outer, inner: f"regexp_matches({outer}, '{_W}') <> regexp_matches({inner}, '{_W}')"
+    return f"""dict AS ({_DICT}), hit AS (SELECT {key}, text, term, concept_id, concept_name, string_split(lower(text), term) AS p FROM {rows} JOIN dict ON contains(lower(text), term)),
+        place AS (SELECT *, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(term))::INTEGER AS start FROM (SELECT *, unnest(range(1, len(p))) AS i FROM hit)),
+        spans AS (SELECT {key}, text, term, concept_id, concept_name, start, (start + length(term))::INTEGER AS "end" FROM place
+          WHERE {edge("CASE WHEN start > 0 THEN substr(text, start, 1) ELSE '' END", 'left(term, 1)')} AND {edge('substr(text, start + length(term) + 1, 1)', 'right(term, 1)')})"""
+
+
+@query(f'WITH {_spans_sql("documents", "doc_id")} SELECT doc_id, term, start, "end", concept_id FROM spans')
 def dictionary_spans(spark, sf):
     found = entities.dictionary_matches(_docs(spark, sf), _dictionary(spark, sf), "doc_id", "text")
     return found.select("doc_id", "term", "start", "end", "concept_id")
 
 
-@query()
+_RECORD_TEXTS = "(SELECT record_id, text FROM records WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY received_at) = 1)"
+_TIMES = "CASE WHEN list_has_any(t, ['history', 'previously', 'formerly', 'past']) THEN 'past' WHEN list_has_any(t, ['chronic', 'long-term', 'longterm', 'longstanding']) THEN 'chronic' WHEN list_has_any(t, ['currently', 'ongoing', 'today', 'active', 'now']) THEN 'current' END"
+_CUES = "['no', 'not', 'without', 'denies', 'deny', 'absence', 'absent']"
+
+
+@query(
+    f"""WITH {_spans_sql(_RECORD_TEXTS, "record_id")}, n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY start, "end", concept_id) AS n FROM spans QUALIFY n <= 300)
+        SELECT record_id, format('ent_{{:06d}}', n - 1) AS id, start, "end", 'DISEASE' AS label, concept_id, CASE WHEN list_has_any(b[greatest(len(b) - 11, 1):], {_CUES}) THEN 'negated' ELSE 'not_negated' END AS negation, {_TIMES} AS temporality
+        FROM (SELECT *, {_TOKENS("lower(left(text, start))")} AS b, {_TOKENS("lower(text)")} AS t FROM n)"""
+)
 def annotate_records(spark, sf):
     docs = candidates.first_wins(table(spark, sf, "records").filter("text is not null"), "record_id", "received_at").select("record_id", "text")
     rows = entities.annotate(docs, _dictionary(spark, sf)).select("record_id", F.explode("entities").alias("e"))
     return rows.select("record_id", "e.id", "e.start", "e.end", "e.label", "e.concept_id", "e.negation", "e.temporality")
 
 
-@query()
-def label_dictionary(spark, sf):
-    from medloom.operators.packed import packed_values
+_CELL = lambda c: f"list_transform(regexp_split_to_array({c}, '[|;]'), lambda x: {_STRIP('x')})"
+
 
-    cells = table(spark, sf, "mesh").select("line_no", "ui", *[F.transform(packed_values(F.col(c)), lambda x: x["item"]).alias(c) for c in ("preferred_terms", "synonyms")])
+@query(
+    f"""SELECT term, arg_min(ui, (line_no, pos)) AS ui FROM (SELECT ui, line_no, lower(unnest(t)) AS term, unnest(range(len(t))) AS pos FROM (
+        SELECT {_STRIP('ui')} AS ui, line_no, list_concat(coalesce({_CELL('preferred_terms')}, []), coalesce({_CELL('synonyms')}, [])[1:8]) AS t FROM mesh WHERE {_STRIP('ui')} <> '')) WHERE term <> '' GROUP BY term"""
+)
+def label_dictionary(spark, sf):
+    cells = table(spark, sf, "mesh").select("line_no", "ui", *[F.transform(F.split(c, "[|;]"), T.strip).alias(c) for c in ("preferred_terms", "synonyms")])
     return entities.label_dictionary(cells)
 
 
-_CUES = "['no', 'not', 'without', 'denies', 'deny', 'absence', 'absent']"
 _ANCHOR = "history"
 
 

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +82,23 @@ def test_dictionary_of_long_terms(spark):
     assert entities.dictionary_matches(docs, dictionary.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("most", [entities.TERMS, 3])
+def test_dictionary_like_expressions(spark, most):
+    """Terms of any signs against an expression for each, whether one automaton holds them all or several do."""
+    rng = random.Random(4)
+    terms = ["a", "a b", "(a)", "b-", "-b", "é", "a.b", "ab", "b a b", "++", "a  b", "É a", "(a", "b)"]
+    texts = ["".join(rng.choice(["a", "b", "A", "É", " ", " ", "-", "(", ")", ".", "+", "_", "İ"]) for _ in range(60)) for _ in range(40)] + [None, "", " "]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, term string")
+    dictionary = spark.createDataFrame([(t, t.upper()) for t in terms] + [(" a ", "again"), (None, "none"), ("", "empty")], "term string, concept_id string")
+    got = entities.dictionary_matches(docs, dictionary, "doc_id", "text", most).collect()
+    wanted = []
+    for i, text in enumerate(texts):
+        for term in terms:
+            for m in re.finditer(rf"\b{re.escape(term)}\b", text or "", re.I):
+                wanted += [(i, term.lower(), m.start(), m.end(), m[0], name) for name in ([term.upper(), "again"] if term == "a" else [term.upper()])]
+    assert sorted(tuple(r) for r in got) == sorted(wanted) and len(wanted) > 100
+
+
 def test_dictionary(spark, vocabulary):
     terms = {r.term: r.ui for r in entities.label_dictionary(vocabulary).collect()}
     assert terms["htn"] == "D000002" and len(terms) == 9
