@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -11,13 +13,14 @@ from pyspark.sql import functions as F
 
 from medloom.functions import text as T
 from medloom.functions.values import let
-from medloom.schemas import NEGATION_CUES, TEMPORAL_CUES, TEMPORALITIES
+from medloom.schemas import ENTITIES, NEGATION_CUES, TEMPORAL_CUES, TEMPORALITIES
 
 MAX_ENTITIES, NEGATION_WINDOW = 300, 12
 #: Terms and characters one automaton holds; a larger dictionary is several, each of which passes over the texts.
 TERMS, CHARACTERS = 200_000, 3_000_000
 #: Matches in a batch that leaves a task.
 MATCHES = 50_000
+_TOKEN = re.compile(r"\S+")
 #: Automata a worker keeps, by what they were made of.
 _automata: dict[str, ahocorasick.Automaton] = {}
 
@@ -71,6 +74,23 @@ def label_dictionary(vocabulary: DataFrame, max_synonyms: int = 8) -> DataFrame:
     return rows.groupBy("term").agg(F.min(F.struct("line_no", "pos", "ui")).alias("m")).select("term", F.col("m.ui").alias("ui"))
 
 
+def negations(text: str, starts: list[int], window: int = NEGATION_WINDOW) -> list[str]:
+    """What ``negation`` says of a span at each of ``starts``, with the text divided once."""
+    tokens = [(m.start(), m.end(), m[0].lower()) for m in _TOKEN.finditer(text)]
+    begins = [a for a, _, _ in tokens]
+    cues = [i for i, (_, _, token) in enumerate(tokens) if token in NEGATION_CUES]
+    out = []
+    for start in starts:
+        n = bisect_left(begins, start)
+        # the last token may reach into the span, which leaves its beginning
+        parted = n > 0 and tokens[n - 1][1] > start
+        cue = parted and text[begins[n - 1] : start].lower() in NEGATION_CUES
+        whole = n - 1 if parted else n
+        near = bisect_left(cues, whole) - 1
+        out.append("negated" if cue or (near >= 0 and cues[near] >= n - window) else "not_negated")
+    return out
+
+
 def _chunks(terms: DataFrame, most: int, characters: int):
     """Lists of terms of bounded size, one at a time on the driver."""
     chunk, size = [], 0
@@ -85,8 +105,8 @@ def _chunks(terms: DataFrame, most: int, characters: int):
 
 
 def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: str, most: int = TERMS, characters: int = CHARACTERS) -> DataFrame:
-    """Occurrences of dictionary terms between word boundaries, in any case: (key, term, start, end, surface, and the
-    dictionary's columns).
+    """Occurrences of dictionary terms between word boundaries, in any case: (key, term, start, end, surface, negation, and
+    the dictionary's columns).
 
     Terms of any length and with any signs match. Each text is read once by an automaton of all terms; a dictionary of
     more than ``most`` terms or so many ``characters`` becomes several automata of at most that size, each of which
@@ -95,11 +115,11 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str, text: s
     """
     dictionary = dictionary.withColumn("term", F.lower(T.strip(F.col("term")))).filter("term <> ''")
     rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).filter("_text is not null")
-    schema = f"`{key}` {rows.dtypes[0][1]}, term string, start int, end int, surface string"
-    found = rows.filter(F.lit(False)).select(key, *[F.lit(None).cast(kind).alias(c) for c, kind in (("term", "string"), ("start", "int"), ("end", "int"), ("surface", "string"))])
+    schema = f"`{key}` {rows.dtypes[0][1]}, term string, start int, end int, surface string, negation string"
+    found = rows.filter(F.lit(False)).select(key, *[F.lit(None).cast(kind).alias(c) for c, kind in (("term", "string"), ("start", "int"), ("end", "int"), ("surface", "string"), ("negation", "string"))])
     for terms in _chunks(dictionary.select("term").distinct(), most, characters):
         found = found.unionByName(rows.mapInArrow(_searcher(rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, terms)), key), schema))
-    return found.join(dictionary, "term").select(key, "term", "start", "end", "surface", *[c for c in dictionary.columns if c != "term"])
+    return found.join(dictionary, "term").select(key, "term", "start", "end", "surface", "negation", *[c for c in dictionary.columns if c != "term"])
 
 
 def _searcher(shared, key: str):
@@ -109,13 +129,13 @@ def _searcher(shared, key: str):
             at, spans = [], []
 
             def taken():
-                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[2] for x in spans], pa.string()), *[pa.array([x[i] for x in spans], pa.int32()) for i in range(2)], pa.array([x[3] for x in spans], pa.string())]
-                return pa.RecordBatch.from_arrays(columns, names=[key, "term", "start", "end", "surface"])
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[2] for x in spans], pa.string()), *[pa.array([x[i] for x in spans], pa.int32()) for i in range(2)], *[pa.array([x[i] for x in spans], pa.string()) for i in (3, 4)]]
+                return pa.RecordBatch.from_arrays(columns, names=[key, "term", "start", "end", "surface", "negation"])
 
             for i, t in enumerate(batch.column(1).to_pylist()):
                 found = term_matches(t, automaton)
                 at += [i] * len(found)
-                spans += [(a, b, term, t[a:b]) for a, b, term in found]
+                spans += [(a, b, term, t[a:b], n) for (a, b, term), n in zip(found, negations(t, [x[0] for x in found]) if found else ())]
                 if len(at) >= MATCHES:
                     yield taken()
                     at, spans = [], []
@@ -166,17 +186,18 @@ def annotate(docs: DataFrame, dictionary: DataFrame, key: str = "record_id", tex
     """
     found = dictionary_matches(docs, dictionary, key, text)
     order = Window.partitionBy(key).orderBy("start", "end", "label", "concept_id")
-    found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_entities).join(docs.select(key, F.col(text).alias("_text"), temporality(F.col(text)).alias("_time")), key)
-    entity = F.struct(
-        F.format_string("ent_%06d", F.col("n") - 1).alias("id"), F.col("surface").alias("text"), "start", "end", "label", "concept_id", "concept_name", "dictionary",
-        negation(F.col("_text"), F.col("start")).alias("negation"), temporality_of(F.col("label"), F.col("_time")).alias("temporality"), F.lit(1.0).alias("confidence"),
+    found = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_entities)
+    # a record's own entities, at most max_entities of them; no match carries its text
+    row = F.struct("n", "surface", "start", "end", "label", "concept_id", "concept_name", "dictionary", "negation")
+    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(row), lambda a, b: a["n"] - b["n"]).alias("_found"))
+    entity = lambda e: F.struct(
+        F.format_string("ent_%06d", e["n"] - 1).alias("id"), e["surface"].alias("text"), e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), e["concept_id"].alias("concept_id"),
+        e["concept_name"].alias("concept_name"), e["dictionary"].alias("dictionary"), e["negation"].alias("negation"), temporality_of(e["label"], F.col("_time")).alias("temporality"), F.lit(1.0).alias("confidence"),
         F.lit("dict_auto").alias("source"), F.create_map().cast("map<string,string>").alias("meta"),
     )
-    # a record's own entities, at most max_entities of them
-    lists = found.select(key, F.struct("n", entity.alias("e")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x"), lambda a, b: a["n"] - b["n"]).alias("x"))
-    lists = lists.select(key, F.transform("x", lambda x: x["e"]).alias("entities"))
-    empty = F.array().cast(lists.schema["entities"].dataType)
-    return docs.select(key, text).join(lists, key, "left").withColumn("entities", F.coalesce("entities", empty))
+    joined = docs.select(key, text, temporality(F.col(text)).alias("_time")).join(lists, key, "left")
+    made = F.transform("_found", entity)
+    return joined.select(key, text, F.coalesce(made, F.array().cast(ENTITIES)).alias("entities"))
 
 
 def annotation_scores(gold: DataFrame, predicted: DataFrame, labels: list[str] | None = None, keys: tuple[str, ...] = ("start", "end", "label")) -> DataFrame:

@@ -95,7 +95,7 @@ def test_dictionary_like_expressions(spark, most):
     for i, text in enumerate(texts):
         for term in terms:
             for m in re.finditer(rf"\b{re.escape(term)}\b", text or "", re.I):
-                wanted += [(i, term.lower(), m.start(), m.end(), m[0], name) for name in ([term.upper(), "again"] if term == "a" else [term.upper()])]
+                wanted += [(i, term.lower(), m.start(), m.end(), m[0], "not_negated", name) for name in ([term.upper(), "again"] if term == "a" else [term.upper()])]
     assert sorted(tuple(r) for r in got) == sorted(wanted) and len(wanted) > 100
 
 
@@ -112,6 +112,16 @@ def test_dictionary(spark, vocabulary):
     assert got["r2"] == [] and got["r3"] == []
 
 
+def test_negation_like_the_column(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["no", "not", "NO", "x", " ", " ", "\u00a0", "\n", "-", "deny", "without"]) for _ in range(50)) for _ in range(20)] + ["", "no"]
+    rows = [(i, t, at) for i, t in enumerate(texts) for at in range(0, len(t), 3)]
+    for window in (12, 2):
+        df = spark.createDataFrame(rows, "i int, t string, at int")
+        wanted = {(r.i, r.at): r.n for r in df.select("i", "at", entities.negation(F.col("t"), F.col("at"), window).alias("n")).collect()}
+        assert {(i, at): entities.negations(t, [at], window)[0] for i, t, at in rows} == wanted and len(set(wanted.values())) == 2
+
+
 def test_temporality_and_scores(spark):
     df = spark.createDataFrame([("chronic diabetes",), ("will come",), ("x",)], "t string")
     assert [r[0] for r in df.select(entities.temporality(F.col("t"))).collect()] == ["chronic", "future", None]
