@@ -71,25 +71,31 @@ def unicode_nfc(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.nfc(F.col("text"))).alias("digest"))
 
 
-@query(
-    r"""SELECT row_id, md5(regexp_replace(text_content, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g')) AS no_emails,
-        md5(regexp_replace(text_content, '\b(\+?\d{1,3}[\s-]?)?(\(?\d{2,4}\)?[\s-]?){2,4}\d{2,4}\b', '<PHONE>', 'g')) AS no_phones FROM clinical_records
-        WHERE regexp_matches(text_content, '^[\x00-\x7f]*$')"""
+# The SQL side's word boundaries are ASCII's. It marks Unicode's first, \x01 at both ends of every run of word characters,
+# and its expressions name the marks that a match contains.
+_BOUND = lambda c: rf"regexp_replace({c}, '({_W}+)', chr(1) || '\1' || chr(1), 'g')"
+_MASK = lambda c, pattern, by: f"replace(regexp_replace({_BOUND(c)}, '{pattern}', '{by}', 'g'), chr(1), '')"
+_BLANK = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}-]"
+_NO_NUMBERS = lambda c: _MASK(c, r"\x01\p{Nd}+\x01", "<NUM>")
+_NO_EMAILS = lambda c: _MASK(c, r"\x01[A-Za-z0-9._%+\x01-]+@\x01?[A-Za-z0-9.\x01-]+\.\x01[A-Za-z]{2,}\x01", "<EMAIL>")
+_NO_PHONES = lambda c: _MASK(
+    c, rf"\x01(?:\+?\x01?\p{{Nd}}{{1,3}}\x01?{_BLANK}?\x01?)?(?:\(?\x01?\p{{Nd}}{{2,4}}\x01?\)?\x01?{_BLANK}?\x01?){{2,4}}\p{{Nd}}{{2,4}}\x01", "<PHONE>"
 )
-def mask_pii(spark, sf):
-    """Over the texts in which Unicode and ASCII word boundaries are the same, so that the SQL side can follow."""
-    rows = table(spark, sf, "clinical_records").filter(F.col("text_content").rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("row_id", F.md5(T.mask_emails(F.col("text_content"))).alias("no_emails"), F.md5(T.mask_phones(F.col("text_content"))).alias("no_phones"))
 
 
-@query()
-def mask_pii_every_text(spark, sf):
-    """mask_pii over all texts, each mask on the text as it is; word boundaries are Unicode's, which the SQL side hasn't."""
+@query(f"SELECT row_id, md5({_NO_EMAILS('text_content')}) AS no_emails, md5({_NO_PHONES('text_content')}) AS no_phones FROM clinical_records")
+def mask_pii(spark, sf):
+    """Each mask on the text as it is."""
     text = F.col("text_content")
     return table(spark, sf, "clinical_records").select("row_id", F.md5(T.mask_emails(text)).alias("no_emails"), F.md5(T.mask_phones(text)).alias("no_phones"))
 
 
-@query()
+@query(f"SELECT row_id, md5({_NO_NUMBERS('text_content')}) AS digest FROM clinical_records")
+def mask_digits(spark, sf):
+    return table(spark, sf, "clinical_records").select("row_id", F.md5(T.mask_numbers(F.col("text_content"))).alias("digest"))
+
+
+@query(f"SELECT row_id, md5({_NO_PHONES(_NO_EMAILS(_NO_NUMBERS('text_content')))}) AS digest FROM clinical_records")
 def mask_pii_all(spark, sf):
     text = F.col("text_content")
     return table(spark, sf, "clinical_records").select("row_id", F.md5(T.mask_phones(T.mask_emails(T.mask_numbers(text)))).alias("digest"))
