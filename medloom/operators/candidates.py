@@ -27,13 +27,18 @@ def candidate_terms(docs: DataFrame, key: str, text: str, most: int | None = 80)
 
 
 def abbreviations(docs: DataFrame, key: str, text: str, anchor: str | None = None) -> DataFrame:
-    """(key, pos, long_form, abbreviation) of every 'long form (ABC)', small letters, in order.
+    """(key, pos, long_form, abbreviation, context) of every 'long form (ABC)', small letters, in order.
 
-    With ``anchor`` only long forms that contain it, cut to start there.
+    context is what stands around it, white space collapsed. With ``anchor`` only long forms that contain it, cut to start
+    there.
     """
     whole = F.regexp_extract_all(F.col(text), F.lit(ABBREVIATION), F.lit(0))
-    rows = docs.select(F.col(key), F.posexplode(whole).alias("pos", "hit"))
-    rows = rows.select(key, "pos", F.lower(T.strip(F.regexp_extract("hit", ABBREVIATION, 1))).alias("long_form"), F.regexp_extract("hit", ABBREVIATION, 2).alias("abbreviation"))
+    between = F.split(F.col(text), ABBREVIATION)
+    chars = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    rows = docs.select(F.col(key), F.col(text).alias("_t"), between.alias("_b"), whole.alias("_w"), F.posexplode(whole).alias("pos", "hit"))
+    rows = rows.withColumn("_at", chars(F.col("_b"), F.col("pos") + 1) + chars(F.col("_w"), F.col("pos")))
+    context = T.context(F.col("_t"), F.col("_at"), F.col("_at") + F.length("hit")).alias("context")
+    rows = rows.select(key, "pos", context, F.lower(T.strip(F.regexp_extract("hit", ABBREVIATION, 1))).alias("long_form"), F.regexp_extract("hit", ABBREVIATION, 2).alias("abbreviation"))
     if anchor is None:
         return rows.filter("long_form <> ''")
     at = F.locate(anchor.lower(), F.col("long_form"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,18 +16,64 @@ from medloom.functions import text as T
 DIMS, BATCH = 256, 64
 
 
+@lru_cache(maxsize=200_000)
+def _place(word: str, dims: int) -> tuple[int, int]:
+    """Place and sign of a word: the first eight digits of its MD5 in base 16, and whether the ninth is 8 or more."""
+    digits = hashlib.md5(word.encode("utf-8", "replace")).hexdigest()
+    return int(digits[:8], 16) % dims, 1 if digits[8] >= "8" else -1
+
+
 def _hashed(dims: int) -> Callable[[list[str]], np.ndarray]:
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), np.float32)
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % dims] += 1 if h >> 31 else -1
+                at, sign = _place(word, dims)
+                row[at] += sign
         return out
 
     return encode
 
 
+def mean_pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Means of the token vectors (texts, tokens, dims) that the mask (texts, tokens) keeps; zero where it keeps none."""
+    weight = mask[..., None].astype(hidden.dtype)
+    return (hidden * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+
+
+def onnx_backend(folder: str, most_tokens: int = 256, open_session=None) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A backend over a folder with model.onnx and tokenizer.json, as exported sentence or masked-language encoders have.
+
+    Token vectors (the first output) are averaged over the attention mask. The folder must be one that all machines read.
+    """
+
+    def load() -> Callable[[list[str]], np.ndarray]:
+        from tokenizers import Tokenizer
+
+        if open_session is None:
+            import onnxruntime
+
+            session = onnxruntime.InferenceSession(f"{folder}/model.onnx", providers=["CPUExecutionProvider"])
+        else:
+            session = open_session(folder)
+        tokenizer = Tokenizer.from_file(f"{folder}/tokenizer.json")
+        tokenizer.enable_truncation(most_tokens)
+        tokenizer.enable_padding()
+        wanted = {i.name for i in session.get_inputs()}
+
+        def run(texts: list[str]) -> np.ndarray:
+            if not texts:
+                return np.zeros((0, 0), np.float32)
+            found = tokenizer.encode_batch(texts)
+            ids, mask = (np.array([getattr(e, a) for e in found], np.int64) for a in ("ids", "attention_mask"))
+            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            return mean_pool(session.run(None, {k: v for k, v in given.items() if k in wanted})[0], mask)
+
+        return run
+
+    return load
+
+
 #: Backend name -> function that loads a model (once a task) and gives texts -> matrix.
 BACKENDS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"hashing": lambda: _hashed(DIMS)}
 
@@ -58,6 +105,27 @@ def encode(text: Column, backend: str = "hashing", normalise: bool = True, batch
     return run(T.collapse_spaces(text))
 
 
+def subwords(word: Column, shortest: int = 3, longest: int = 6) -> Column:
+    """The word between angle brackets, and every stretch of ``shortest`` to ``longest`` characters of that."""
+    whole = F.concat(F.lit("<"), word, F.lit(">"))
+    cuts = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole) - n + 1)), lambda i, n=n: F.substr(whole, i, F.lit(n))) for n in range(shortest, longest + 1)]
+    return F.array_distinct(F.concat(F.array(whole), *[F.filter(c, lambda x, n=n: F.length(x) == n) for n, c in zip(range(shortest, longest + 1), cuts)]))
+
+
+def mean_of_subwords(docs: DataFrame, key: str, text: str, vectors: DataFrame, dims: int, shortest: int = 3, longest: int = 6) -> DataFrame:
+    """(key, vector): as mean_of_words, with a word's vector the mean of its known subwords' of a table (word, vector)
+    that has '<word>' and character stretches; so words the table doesn't know have one too."""
+    words = docs.select(key, F.explode(T.tokens(T.collapse_spaces(F.lower(F.col(text))))).alias("word"))
+    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.select("word").distinct().select("word", F.explode(subwords(F.col("word"), shortest, longest)).alias("part"))
+    known = parts.join(vectors.select(F.col("word").alias("part"), "vector"), "part")
+    own = known.groupBy("word").agg(F.array(*[F.avg(F.col("vector")[i]).cast("double") for i in range(dims)]).alias("vector"))
+    sums = counted.join(own, "word").groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(F.col("vector")[i] * F.col("n")).alias(f"s{i}") for i in range(dims)])
+    mean = sums.select(key, F.array(*[(F.col(f"s{i}") / F.col("n")).cast("float") for i in range(dims)]).alias("vector"))
+    zero = F.array(*[F.lit(0.0).cast("float")] * dims)
+    return docs.select(key).join(mean, key, "left").withColumn("vector", F.coalesce("vector", zero))
+
+
 def mean_of_words(docs: DataFrame, key: str, text: str, vectors: DataFrame, dims: int) -> DataFrame:
     """(key, vector): the mean of the known words' vectors of a table (word, vector); a zero vector without any.
 

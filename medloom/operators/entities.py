@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from medloom.functions import text as T
 from medloom.functions.values import let
+from medloom.operators import fulltext
+from medloom.operators.candidates import TERM
 from medloom.schemas import ENTITIES, NEGATION_CUES, TEMPORAL_CUES, TEMPORALITIES
 
 MAX_ENTITIES, NEGATION_WINDOW = 300, 12
@@ -214,3 +216,28 @@ def annotation_scores(gold: DataFrame, predicted: DataFrame, labels: list[str] |
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     out = counts.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def detect(docs: DataFrame, dictionary: DataFrame, key: str, text: str, index: fulltext.StoredIndex | None = None, hits: int = 1) -> DataFrame:
+    """(key, ui, label, start, end, method, score) of vocabulary entries in texts.
+
+    In: dictionary (term, ui). Occurrences of terms have method 'dict' and score 1.0; with an index every distinct
+    candidate term of a text also has its ``hits`` best entries of a full-text search, with method 'fts', no place (-1)
+    and the search's score. Each distinct term of the corpus is searched once.
+    """
+    found = dictionary_matches(docs, dictionary, key, text)
+    out = found.select(key, "ui", F.col("term").alias("label"), "start", "end", F.lit("dict").alias("method"), F.lit(1.0).alias("score"))
+    if index is None:
+        return out
+    tokens = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(1)))).alias("label")).withColumn("query_id", F.lower("label"))
+    best = index.search(tokens.select("query_id").distinct().withColumn("query", F.col("query_id")), hits)
+    nowhere = F.lit(-1)
+    return out.unionByName(tokens.join(best, "query_id").select(key, F.col("key").alias("ui"), "label", nowhere.alias("start"), nowhere.alias("end"), F.lit("fts").alias("method"), "score"))
+
+
+def training_spans(records: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """(record_id, text, entities (start, end, label)) of the records that have any, with ``labels`` only of these: what an
+    entity recogniser is trained on."""
+    kept = F.filter("entities", lambda e: e["label"].isin(*labels)) if labels is not None else F.col("entities")
+    spans = F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label")))
+    return records.select("record_id", "text", spans.alias("entities")).filter(F.size("entities") > 0)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medloom.functions import text as T
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Query terms that are pushed down to the scan of a stored index.
+PUSHED_TERMS = 500
 
 
 def terms(c: Column) -> Column:
@@ -76,3 +80,30 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame) -> DataFrame:
     """Both result lists under each other, marked by their source."""
     columns = ["query_id", "key", "score", "rank"]
     return text_hits.select(F.lit("text").alias("source"), *columns).unionByName(vector_hits.select(F.lit("vector").alias("source"), *columns))
+
+
+@dataclass
+class StoredIndex:
+    """Postings and corpus size of a text index in a folder; ``search`` reads only the row groups of its terms."""
+
+    postings: DataFrame
+    n_docs: int
+    mean_len: float
+
+    @staticmethod
+    def write(df: DataFrame, key: str, *columns: str, path: str, mode: str = "errorifexists") -> None:
+        """Postings sorted by term over ranges of terms, so that a term's row groups are few, and one row with the sizes."""
+        postings(df, key, *columns).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
+        n, mean = corpus_size(df, *columns)
+        df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n_docs"), F.lit(mean).alias("mean_len")).write.mode(mode).parquet(f"{path}/size")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> StoredIndex:
+        n, mean = spark.read.parquet(f"{path}/size").select("n_docs", "mean_len").first()
+        return cls(spark.read.parquet(f"{path}/postings"), n, mean)
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """As bm25. The terms of up to PUSHED_TERMS go down to the scan; more are joined only."""
+        wanted = queries.select(F.explode(terms(F.col("query"))).alias("term")).distinct().limit(PUSHED_TERMS + 1).collect()
+        index = self.postings.filter(F.col("term").isin([r["term"] for r in wanted])) if len(wanted) <= PUSHED_TERMS else self.postings
+        return bm25(index, queries, self.n_docs, self.mean_len, k)

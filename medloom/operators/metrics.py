@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from medloom.functions import values as V
+from medloom.runtime import cut
+
 
 def _share(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -25,7 +28,10 @@ def confusion_matrix(df: DataFrame, classes: list) -> DataFrame:
 
 def per_class(df: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) of every class of either side."""
-    cells = confusion(df)
+    return _per_class(cut(confusion(df)))
+
+
+def _per_class(cells: DataFrame) -> DataFrame:
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
     true = cells.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
     pred = cells.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("n_pred"))
@@ -36,14 +42,16 @@ def per_class(df: DataFrame) -> DataFrame:
 
 def accuracy_f1(df: DataFrame) -> DataFrame:
     """One row: accuracy, f1_micro (the same for one label a row), f1_macro."""
-    accuracy = confusion(df).agg(_share(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
-    macro = per_class(df).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1_macro"))
+    cells = cut(confusion(df))
+    accuracy = cells.agg(_share(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
+    macro = _per_class(cells).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1_macro"))
     return accuracy.withColumn("k", F.lit(1)).join(macro.withColumn("k", F.lit(1)), "k").select("accuracy", F.col("accuracy").alias("f1_micro"), "f1_macro")
 
 
 def report(df: DataFrame) -> DataFrame:
     """per_class with the rows 'macro avg' and 'weighted avg'."""
-    rows = per_class(df).withColumn("label", F.col("label").cast("string"))
+    # what was predicted is computed once: three branches read the classes
+    rows = cut(per_class(df).withColumn("label", F.col("label").cast("string")))
     macro = rows.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support")).select(F.lit("macro avg").alias("label"), "precision", "recall", "f1", "support")
     weighted = rows.agg(*[_share(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
     return reduce(DataFrame.unionByName, [rows, macro, weighted.select(F.lit("weighted avg").alias("label"), "precision", "recall", "f1", "support")])
@@ -64,3 +72,15 @@ def with_parents(predictions: DataFrame, parents: DataFrame, factor: float = 0.9
     kept = predictions.groupBy("row_id", "code").agg(F.max("score").alias("score"))
     added = kept.join(parents.filter("parent is not null"), "code").groupBy("row_id", F.col("parent").alias("code")).agg((F.min("score") * factor).alias("score"))
     return kept.unionByName(added.join(kept.select("row_id", "code"), ["row_id", "code"], "left_anti"))
+
+
+def postprocess(df: DataFrame, key: str, scores: str, labels: list[str], k: int = 5, thresholds: dict[str, float] | None = None, parents: DataFrame | None = None, logits: bool = False) -> DataFrame:
+    """(key, code, score): the labels kept of each row's array of scores.
+
+    In that order: softmax where the scores are logits; the labels that reach their threshold if there are any thresholds,
+    else the k best; missing parents of rows (code, parent). Null and empty arrays keep nothing.
+    """
+    p = V.softmax(F.col(scores)) if logits else F.col(scores)
+    kept = V.above_thresholds(p, labels, thresholds) if thresholds else V.top_labels(p, labels, k)
+    rows = df.filter(F.size(scores) > 0).select(F.col(key).alias("row_id"), F.explode(kept).alias("x")).select("row_id", F.col("x.label").alias("code"), F.col("x.prob").alias("score"))
+    return (rows if parents is None else with_parents(rows, parents)).withColumnRenamed("row_id", key)

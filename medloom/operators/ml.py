@@ -138,3 +138,24 @@ def smooth_tfidf(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     weighed = tf.join(df_, "term").withColumn("w", F.col("tf") * (F.ln((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0))
     length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return weighed.join(length, key).select(key, "term", F.round(F.col("w") / F.col("length"), 6).alias("weight"))
+
+
+def weights(df: DataFrame, key: str, features: str = "features") -> DataFrame:
+    """(key, place, weight) of the entries of sparse vectors that aren't zero."""
+    raw = F.unwrap_udt(F.col(features))
+    return df.select(key, F.explode(F.arrays_zip(raw["indices"].alias("place"), raw["values"].alias("weight"))).alias("x")).select(key, "x.place", "x.weight")
+
+
+def term_weights(model: PipelineModel, df: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) of the features of a fitted pipeline with a vocabulary; the vocabulary is joined as a table."""
+    terms = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    names = df.sparkSession.createDataFrame(list(enumerate(terms)), "place int, term string")
+    return weights(model.transform(df), key).join(names, "place").select(key, "term", "weight")
+
+
+def term_importance(model: PipelineModel, spark, class_index: int | None = None) -> DataFrame:
+    """(term, weight) of every term for a class of a linear model, or of a tree model as a whole, as a table."""
+    terms = next(s for s in model.stages[0].stages if hasattr(s, "vocabulary")).vocabulary
+    fitted = model.stages[1]
+    found = fitted.featureImportances.toArray() if class_index is None else fitted.coefficientMatrix.toArray()[class_index]
+    return spark.createDataFrame([(t, float(w)) for t, w in zip(terms, found)], "term string, weight double")

@@ -12,6 +12,7 @@ from medloom import schemas
 from medloom.functions import text as T
 from medloom.functions import values as V
 from medloom.operators import admissions, candidates, eda, encoders, entities, fulltext, metrics, ml, segments, validation, vectors
+from medloom.runtime import cut
 from medloom.sources import readers, writers
 
 
@@ -35,19 +36,25 @@ def label_documents(labelled: DataFrame, manifest: DataFrame, unlabelled: DataFr
     """
 
     def encoded(docs: DataFrame) -> DataFrame:
-        cut = segments.segment_texts(docs, "name", "text")
-        return cut.select("name", F.xxhash64("name", "segment_id").alias("id"), "segment", encoders.encode(F.col("segment"), backend).alias("vector"))
+        found = segments.segment_texts(docs, "name", "text")
+        # written once: the search, its counts and the names all read it, and the model runs once
+        return cut(found.select("name", F.xxhash64("name", "segment_id").alias("id"), "segment", encoders.encode(F.col("segment"), backend).alias("vector")))
 
     index = encoded(labelled.join(manifest.select(F.col("filename").alias("name")).distinct(), "name", "left_semi"))
     asked = encoded(unlabelled)
     near = vectors.nearest(asked.select(F.col("id").alias("query_id"), "vector"), index.select(F.col("id").alias("entry_id"), "vector"), k)
     labels = index.select(F.col("id").alias("entry_id"), "name").join(manifest.withColumnRenamed("filename", "name"), "name").select("entry_id", "label")
     near = near.join(asked.select(F.col("id").alias("query_id"), "name"), "query_id").join(labels, "entry_id")
-    return vectors.label_by_neighbours(near, list(schemas.DOCUMENT_LABELS), "name", threshold)
+    out = vectors.label_by_neighbours(near, list(schemas.DOCUMENT_LABELS), "name", threshold)
+    shown = index.select(F.col("id").alias("entry_id"), F.col("name").alias("evidence_name"), F.col("segment").alias("evidence_text"))
+    return out.withColumn("entry_id", F.col("evidence.entry_id")).join(shown, "entry_id", "left").drop("entry_id")
 
 
-def export_labels(predictions: DataFrame, path: str) -> None:
-    writers.predictions_csv(vectors.wide_predictions(predictions, "name", list(schemas.DOCUMENT_LABELS)), path)
+def export_labels(predictions: DataFrame, path: str, evidence: bool = True) -> None:
+    """A row for each document with flag, score and evidence ('name | score | text', cut to what an export shows)."""
+    shown = F.when(F.col("evidence_name").isNotNull(), F.concat_ws(" | ", "evidence_name", F.round("score", 4).cast("string"), "evidence_text"))
+    wide = vectors.wide_predictions(predictions, "name", list(schemas.DOCUMENT_LABELS), shown if evidence else None)
+    writers.predictions_csv(wide, path)
 
 
 def describe(docs: DataFrame, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -100,11 +107,13 @@ def predict_batch(model: PipelineModel, texts: DataFrame, k: int = 5) -> DataFra
     return out.withColumn("predictions", V.top_labels(F.col("probabilities"), ml.classes(model), k)).select(*texts.columns, "predictions")
 
 
-def expand_vocabulary(docs: DataFrame, vocabulary: DataFrame, most: int = 100) -> DataFrame:
+def expand_vocabulary(docs: DataFrame, vocabulary: DataFrame, most: int = 100, backend: str | None = None, embedded: DataFrame | None = None) -> DataFrame:
     """Rows for validation: abbreviations with their long forms, and candidate terms that are no term of the vocabulary,
-    each with the best entry of a full-text search.
+    each with the best entry of a full-text search, abbreviations also with the text around them.
 
     In: docs (doc_id string, text), vocabulary as sources.readers has it with line_no. At most ``most`` terms a document.
+    With vectors of the vocabulary, embedded (entry_id, vector), and the backend they were made with, the comment of a
+    candidate term names its most similar entry.
     """
     flat = vocabulary.select("ui", F.array_join("preferred_terms", " | ").alias("label"), F.array_join("synonyms", " | ").alias("synonyms"), "scope_note")
     columns = ("ui", "label", "synonyms", "scope_note")
@@ -114,18 +123,25 @@ def expand_vocabulary(docs: DataFrame, vocabulary: DataFrame, most: int = 100) -
     asked = terms.select(F.lower("candidate_term").alias("query_id")).unionByName(pairs.select(F.col("long_form").alias("query_id"))).distinct()
     best = fulltext.bm25(index, asked.withColumn("query", F.col("query_id")), *size, 1).join(flat.select(F.col("ui").alias("key"), "label"), "key")
     found = best.select("query_id", F.col("key").alias("ui"), "label", "score")
+    if embedded is not None:
+        words = terms.select("candidate_term").distinct().select(F.xxhash64("candidate_term").alias("query_id"), "candidate_term", encoders.encode(F.col("candidate_term"), backend or "hashing").alias("vector"))
+        words = cut(words)
+        near = vectors.nearest(words.select("query_id", "vector"), embedded, 1).join(words.select("query_id", "candidate_term"), "query_id")
+        note = F.concat(F.lit("vector_ui="), F.col("entry_id").cast("string"), F.lit(" vector_score="), F.col("score").cast("string"))
+        terms = terms.join(near.select("candidate_term", note.alias("comment")), "candidate_term", "left")
     suggested = lambda rows, query, kind: _suggested(rows.withColumn("query_id", query), found, kind)
     return (
-        suggested(pairs.select("doc_id", F.col("abbreviation").alias("candidate_term"), "long_form"), F.col("long_form"), "abbreviation")
-        .unionByName(suggested(pairs.select("doc_id", F.col("long_form").alias("candidate_term")), F.col("candidate_term"), "long_form"))
-        .unionByName(suggested(terms.select("doc_id", "candidate_term"), F.lower("candidate_term"), "candidate_term"))
+        suggested(pairs.select("doc_id", F.col("abbreviation").alias("candidate_term"), "long_form", "context"), F.col("long_form"), "abbreviation")
+        .unionByName(suggested(pairs.select("doc_id", F.col("long_form").alias("candidate_term"), "context"), F.col("candidate_term"), "long_form"))
+        .unionByName(suggested(terms.select("doc_id", "candidate_term", *(["comment"] if embedded is not None else [])), F.lower("candidate_term"), "candidate_term"))
     )
 
 
 def _suggested(rows: DataFrame, found: DataFrame, kind: str) -> DataFrame:
     none = F.lit("")
+    given = lambda c: F.coalesce(c, none) if c in rows.columns else none
     joined = rows.join(found, "query_id", "left")
     return joined.select(
-        "doc_id", "candidate_term", F.lit(kind).alias("candidate_type"), none.alias("context_snippet"), F.coalesce("ui", none).alias("mesh_ui_suggested"), F.coalesce("label", none).alias("mesh_label_suggested"),
-        F.coalesce("score", F.lit(0.0)).alias("score"), none.alias("human_validation"), none.alias("human_target_mesh_ui"), none.alias("human_new_entity_label"), none.alias("comment"),
+        "doc_id", "candidate_term", F.lit(kind).alias("candidate_type"), given("context").alias("context_snippet"), F.coalesce("ui", none).alias("mesh_ui_suggested"), F.coalesce("label", none).alias("mesh_label_suggested"),
+        F.coalesce("score", F.lit(0.0)).alias("score"), none.alias("human_validation"), none.alias("human_target_mesh_ui"), none.alias("human_new_entity_label"), given("comment").alias("comment"),
     )

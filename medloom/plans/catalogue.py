@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from medloom import schemas
 from medloom.functions import text as T
 from medloom.functions import values as V
-from medloom.operators import admissions, candidates, eda, encoders, entities, fulltext, metrics, ml, segments, taxonomy, validation, vectors
+from medloom.operators import admissions, candidates, documents, eda, encoders, entities, fulltext, metrics, ml, segments, taxonomy, validation, vectors
 from medloom.operators.hierarchy import code_nodes
 from medloom.runtime import table
 
@@ -195,10 +195,7 @@ def json_entities(spark, sf):
 
 @query(f"SELECT filename, CASE WHEN doc_label IN ('crh','cro','cra') THEN doc_label WHEN doc_label IN ('ordonnance_medicaments','ordonnance_examen') THEN 'prescription' WHEN doc_label = 'analyse_labo' THEN 'lab' WHEN doc_label = 'fiche_patient_admission' THEN 'admission' ELSE 'base' END AS doc_class, CASE doc_label WHEN 'ordonnance_medicaments' THEN 'medicaments' WHEN 'ordonnance_examen' THEN 'examen' END AS prescription_type FROM medical_documents")
 def document_subtype(spark, sf):
-    label = F.col("doc_label")
-    kind = F.when(label.isin("crh", "cro", "cra"), label).when(label.isin("ordonnance_medicaments", "ordonnance_examen"), "prescription").when(label == "analyse_labo", "lab").when(label == "fiche_patient_admission", "admission").otherwise("base")
-    detail = F.when(label == "ordonnance_medicaments", "medicaments").when(label == "ordonnance_examen", "examen")
-    return table(spark, sf, "medical_documents").select("filename", kind.alias("doc_class"), detail.alias("prescription_type"))
+    return table(spark, sf, "medical_documents").select("filename", documents.document_class(F.col("doc_label")).alias("c")).select("filename", "c.*")
 
 
 # ---- segments and vectors
@@ -286,11 +283,14 @@ def predictions_wide(spark, sf):
     return vectors.wide_predictions(vectors.label_by_neighbours(_labelled_near(spark, sf), _LABELS, "doc", _THRESHOLD), "doc", _LABELS)
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, md5(unnest({_TOKENS('lower(text)')})) AS h FROM documents), s AS (SELECT doc_id, (('0x' || h[1:8])::BIGINT % 256)::INTEGER AS place, sum(CASE WHEN h[9] >= '8' THEN 1 ELSE -1 END) AS n FROM w GROUP BY 1, 2)
+        SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4)::DOUBLE AS weight FROM s WHERE n <> 0"""
+)
 def encode_hashing(spark, sf):
-    """Vectors of the model-free encoder, as their rounded lengths."""
+    """Entries of the vectors of the model-free encoder."""
     rows = _docs(spark, sf).select("doc_id", encoders.encode(F.col("text")).alias("v"))
-    return rows.select("doc_id", F.round(vectors.dot(F.col("v"), F.col("v")), 3).alias("norm2"))
+    return rows.select("doc_id", F.posexplode("v").alias("place", "weight")).filter("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 4))
 
 
 @query("SELECT a.vec_id, CASE WHEN c >= 0.75 THEN 'accepted' WHEN c <= 0.45 THEN 'rejected' ELSE 'unsure' END AS verdict, round(greatest(0.0, least(1.0, c)), 6) AS score FROM (SELECT x.vec_id, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1) a")
@@ -804,9 +804,26 @@ def logreg_predict(spark, sf):
 
 @query()
 def hashing_features(spark, sf):
+    """Entries of the hashed features; the hash is Spark's own, so the SQL side has none (tests recompute it)."""
     rows = _labelled_texts(spark, sf)
     model = ml.fit_features(rows, ml.Features(hashed=True))
-    return model.transform(rows).select("filename", F.size(ml.vector_to_array("features")).alias("dims"))
+    return ml.weights(model.transform(rows), "filename").withColumn("weight", F.round("weight", 6))
+
+
+_GRAMS = f"""(SELECT filename, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t FROM (
+    SELECT filename, list_filter(regexp_extract_all(lower({_COLLAPSE('raw_text')}), '{_W}+'), lambda x: length(x) >= 2) AS w FROM medical_documents WHERE doc_label IS NOT NULL AND {_COLLAPSE('raw_text')} <> ''))"""
+
+
+@query(
+    f"""WITH g AS (SELECT row_number() OVER () AS id, filename, t FROM {_GRAMS}), tf AS (SELECT id, filename, term, count(*) AS tf FROM (SELECT id, filename, unnest(t) AS term FROM g) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.98::DOUBLE * (SELECT count(*) FROM g)),
+        w AS (SELECT id, filename, term, tf * (ln(((SELECT count(*) FROM g) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0::DOUBLE) AS w FROM tf JOIN df USING (term))
+        SELECT filename, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 5) AS weight FROM w"""
+)
+def tfidf_features(spark, sf):
+    """Entries of the features the classifiers are trained on, by term."""
+    rows = _labelled_texts(spark, sf)
+    return ml.term_weights(ml.fit_features(rows), rows, "filename").withColumn("weight", F.round("weight", 5))
 
 
 @query()

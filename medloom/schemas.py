@@ -14,6 +14,20 @@ PROVENANCES = ("manual", "mesh_auto", "dict_auto", "model")
 NEGATIONS = ("negated", "not_negated", "unknown")
 TEMPORALITIES = {"MEDICATION": ("past", "current", "chronic", "future"), "DISEASE": ("past", "current", "chronic")}
 DOCUMENT_LABELS = ("crh", "cro", "cra", "ordonnance_examen", "ordonnance_medicaments", "analyse_labo", "fiche_patient_admission")
+LABEL_DESCRIPTIONS = {
+    "crh": "Hospital discharge summary (Compte Rendu d'Hospitalisation).",
+    "cro": "Operative report (Compte Rendu Operatoire).",
+    "cra": "Anesthesia report (Compte Rendu d'Anesthesie).",
+    "ordonnance_examen": "Prescription for medical exams (imaging, lab, etc.).",
+    "ordonnance_medicaments": "Medication prescription.",
+    "analyse_labo": "Laboratory analysis results.",
+    "fiche_patient_admission": "Patient admission or administrative intake form.",
+}
+DOCUMENT_CLASSES = {
+    "crh": "crh", "cro": "cro", "cra": "cra", "ordonnance_medicaments": "prescription", "ordonnance_examen": "prescription",
+    "analyse_labo": "lab", "fiche_patient_admission": "admission",
+}
+PRESCRIPTION_TYPES = {"ordonnance_medicaments": "medicaments", "ordonnance_examen": "examen"}
 LABEL_THRESHOLD = 0.55
 KEYWORD_HINTS = {
     "crh": ("compte rendu", "hospitalisation", "sortie", "diagnostic", "traitement"),

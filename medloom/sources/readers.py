@@ -83,6 +83,11 @@ def json_lines(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def json_object(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The single object of a JSON file, or the objects of its list, whatever the line breaks in it."""
+    return spark.read.schema(schema).option("multiLine", True).json(require(path) if "*" not in path else path)
+
+
 def vocabulary_lines(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, schemas.VOCABULARY)
 
@@ -140,6 +145,14 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("ui", F.array(*[F.col(c).cast("float") for c in wide]).alias("vector"))
 
 
+def descriptor_file(folder: str) -> str:
+    """The newest descriptor XML (desc*.xml, by name) of a local folder."""
+    found = sorted(x for x in os.listdir(require(folder, folder=True)) if x.lower().startswith("desc") and x.lower().endswith(".xml"))
+    if not found:
+        raise MissingData(f"no descriptor XML in {folder}")
+    return os.path.join(folder, found[-1])
+
+
 def embedding_texts(vocabulary: DataFrame, max_synonyms: int = 15) -> DataFrame:
     """(ui, text): the first preferred term and the first synonyms, joined by ' | '; empty ones dropped."""
     parts = F.filter(F.transform(F.concat(F.slice("preferred_terms", 1, 1), F.slice("synonyms", 1, max_synonyms)), T.collapse_spaces), lambda x: x != "")

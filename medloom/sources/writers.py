@@ -60,6 +60,42 @@ def labelled_lines(df: DataFrame, label: str, text: str, path: str, mode: str =
     df.select(F.concat(F.lit("__label__"), F.col(label).cast("string"), F.lit(" "), T.single_line(F.col(text)))).write.mode(mode).text(path)
 
 
+def _put(spark, path: str, text: str) -> None:
+    """A small text as one file, on any file system Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def json_object(df: DataFrame, path: str) -> None:
+    """The single row of ``df`` (measures, settings, a summary) as one JSON file."""
+    _put(df.sparkSession, path, one_json(df) + "\n")
+
+
+def text(spark, content: str, path: str) -> None:
+    _put(spark, path, content)
+
+
+def markdown(df: DataFrame, title: str, path: str, most: int = 1000) -> None:
+    """A report: a title and the first ``most`` rows as a table; the report is for reading, so it has an end."""
+    rows = df.limit(most).collect()
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows), ""]
+    _put(df.sparkSession, path, "\n".join(lines))
+
+
+def checksum_file(spark, path: str) -> str:
+    """Writes <path>.sha256, 'digest  name', beside a file and gives the digest."""
+    from medloom.sources import readers
+
+    row = readers.checksums(spark, path).first()
+    _put(spark, f"{path}.sha256", f"{row['sha256']}  {row['name']}\n")
+    return row["sha256"]
+
+
 def one_json(df: DataFrame) -> str:
     """The single row of ``df`` as JSON."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
