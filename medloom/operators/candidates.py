@@ -11,6 +11,8 @@ from medloom.functions.values import let
 # What a term and an abbreviation in brackets look like.
 TERM = r"([A-Za-zÀ-ÖØ-öø-ÿ\-]{4,})"
 ABBREVIATION = r"([A-Za-zÀ-ÖØ-öø-ÿ\-\s]+?)\s*\(([A-Z]{2,8})\)"
+#: The same but for white space at the end of the first group; starts at a run of such signs only, so it reads a text once.
+_ONCE = r"(?<![A-Za-zÀ-ÖØ-öø-ÿ\-\s])([A-Za-zÀ-ÖØ-öø-ÿ\-\s]++)\(([A-Z]{2,8})\)"
 
 
 def candidate_terms(docs: DataFrame, key: str, text: str, most: int | None = 80) -> DataFrame:
@@ -32,13 +34,13 @@ def abbreviations(docs: DataFrame, key: str, text: str, anchor: str | None = Non
     context is what stands around it, white space collapsed. With ``anchor`` only long forms that contain it, cut to start
     there.
     """
-    whole = F.regexp_extract_all(F.col(text), F.lit(ABBREVIATION), F.lit(0))
-    between = F.split(F.col(text), ABBREVIATION)
+    whole = F.regexp_extract_all(F.col(text), F.lit(_ONCE), F.lit(0))
+    between = F.split(F.col(text), _ONCE)
     chars = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
     rows = docs.select(F.col(key), F.col(text).alias("_t"), between.alias("_b"), whole.alias("_w"), F.posexplode(whole).alias("pos", "hit"))
     rows = rows.withColumn("_at", chars(F.col("_b"), F.col("pos") + 1) + chars(F.col("_w"), F.col("pos")))
     context = T.context(F.col("_t"), F.col("_at"), F.col("_at") + F.length("hit")).alias("context")
-    rows = rows.select(key, "pos", context, F.lower(T.strip(F.regexp_extract("hit", ABBREVIATION, 1))).alias("long_form"), F.regexp_extract("hit", ABBREVIATION, 2).alias("abbreviation"))
+    rows = rows.select(key, "pos", context, F.lower(T.strip(F.regexp_extract("hit", _ONCE, 1))).alias("long_form"), F.regexp_extract("hit", _ONCE, 2).alias("abbreviation"))
     if anchor is None:
         return rows.filter("long_form <> ''")
     at = F.locate(anchor.lower(), F.col("long_form"))

@@ -108,8 +108,13 @@ def encode(text: Column, backend: str = "hashing", normalise: bool = True, batch
 def subwords(word: Column, shortest: int = 3, longest: int = 6) -> Column:
     """The word between angle brackets, and every stretch of ``shortest`` to ``longest`` characters of that."""
     whole = F.concat(F.lit("<"), word, F.lit(">"))
-    cuts = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole) - n + 1)), lambda i, n=n: F.substr(whole, i, F.lit(n))) for n in range(shortest, longest + 1)]
-    return F.array_distinct(F.concat(F.array(whole), *[F.filter(c, lambda x, n=n: F.length(x) == n) for n, c in zip(range(shortest, longest + 1), cuts)]))
+
+    def of(n: int) -> Column:
+        # a stretch that would go beyond the end is none
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole) - n + 1)), lambda i: i <= F.length(whole) - n + 1)
+        return F.transform(starts, lambda i: F.substr(whole, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(whole), *map(of, range(shortest, longest + 1))))
 
 
 def mean_of_subwords(docs: DataFrame, key: str, text: str, vectors: DataFrame, dims: int, shortest: int = 3, longest: int = 6) -> DataFrame:

@@ -47,3 +47,16 @@ def roll_up(tree: DataFrame, levels: int) -> DataFrame:
     for _ in range(levels):
         out = out.join(known.select(F.col("code").alias("rolled"), "parent"), "rolled", "left").select("code", F.col("parent").alias("rolled"))
     return out
+
+
+def get(tree: DataFrame, codes: DataFrame) -> DataFrame:
+    """The nodes (code, parent, has_children) of the codes that there are, of rows (code); others have no row."""
+    links = parents(tree)
+    above = links.filter("parent is not null").select(F.col("parent").alias("code")).distinct().withColumn("has_children", F.lit(True))
+    found = links.join(codes.select("code").distinct(), "code", "left_semi").join(above, "code", "left")
+    return found.withColumn("has_children", F.coalesce("has_children", F.lit(False)))
+
+
+def size(tree: DataFrame) -> DataFrame:
+    """One row with the number of nodes."""
+    return tree.agg(F.count_distinct("code").alias("n_codes"))

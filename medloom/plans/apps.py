@@ -118,8 +118,8 @@ def expand_vocabulary(docs: DataFrame, vocabulary: DataFrame, most: int = 100, b
     flat = vocabulary.select("ui", F.array_join("preferred_terms", " | ").alias("label"), F.array_join("synonyms", " | ").alias("synonyms"), "scope_note")
     columns = ("ui", "label", "synonyms", "scope_note")
     index, size = fulltext.postings(flat, "ui", *columns), fulltext.corpus_size(flat, *columns)
-    pairs = candidates.abbreviations(docs, "doc_id", "text")
-    terms = candidates.unknown_terms(candidates.candidate_terms(docs, "doc_id", "text", most), entities.label_dictionary(vocabulary))
+    pairs = cut(candidates.abbreviations(docs, "doc_id", "text"))
+    terms = cut(candidates.unknown_terms(candidates.candidate_terms(docs, "doc_id", "text", most), entities.label_dictionary(vocabulary)))
     asked = terms.select(F.lower("candidate_term").alias("query_id")).unionByName(pairs.select(F.col("long_form").alias("query_id"))).distinct()
     best = fulltext.bm25(index, asked.withColumn("query", F.col("query_id")), *size, 1).join(flat.select(F.col("ui").alias("key"), "label"), "key")
     found = best.select("query_id", F.col("key").alias("ui"), "label", "score")

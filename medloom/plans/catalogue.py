@@ -208,11 +208,6 @@ def segment_windows(spark, sf):
     return segments.word_windows(_docs(spark, sf), "doc_id", "text").select("doc_id", "seq", "start_token", "n_tokens", F.md5(F.array_join("words", " ")).alias("digest"))
 
 
-@query()
-def segment_text_spans(spark, sf):
-    return segments.segment_texts(_docs(spark, sf), "doc_id", "text").select("doc_id", "segment_id", "start_char", "end_char", F.md5("segment").alias("digest"))
-
-
 @query(
     f"""SELECT count(*) AS n_files, CAST(coalesce(sum(length(coalesce(text, ''))), 0) AS BIGINT) AS total_chars, round(avg(length(coalesce(text, ''))), 6) AS avg_chars, CAST(sum(n) AS BIGINT) AS total_segments, round(avg(n), 6) AS avg_segments
         FROM (SELECT text, CASE WHEN k = 0 THEN 0 ELSE greatest(0, ceil((k - 220) / 160.0)) + 1 END AS n FROM (SELECT text, coalesce(len({_WORDS('text')}), 0) AS k FROM documents))"""
@@ -549,18 +544,6 @@ def validate_record_rules(spark, sf):
     return rows.select("record_id", validation.matches(F.col("record_id"), validation.ROW_ID).alias("id_ok"), validation.matches(F.col("patient_id"), validation.ROW_ID).alias("patient_ok"), filled.alias("text_ok"))
 
 
-@query()
-def validate_records(spark, sf):
-    rows = table(spark, sf, "records").withColumn("entities", validation.parse_entities(F.col("entities")))
-    return rows.select("record_id", F.array_join(validation.record_errors(F.col("entities")), ",").alias("errors"))
-
-
-@query()
-def validate_entities(spark, sf):
-    rows = table(spark, sf, "records").select("record_id", F.explode(validation.parse_entities(F.col("entities"))).alias("e"))
-    return rows.select("record_id", F.col("e.id").alias("id"), F.array_join(validation.entity_errors(F.col("e")), ",").alias("errors"))
-
-
 @query("SELECT l.label, t.value, CASE WHEN l.label = 'MEDICATION' THEN coalesce(t.value IN ('past','current','chronic','future'), false) WHEN l.label = 'DISEASE' THEN coalesce(t.value IN ('past','current','chronic'), false) ELSE t.value IS NULL END AS valid FROM (SELECT unnest(['MEDICATION','DISEASE','TEST']) AS label) l, (SELECT unnest(['past','current','chronic','future','never',NULL]) AS value) t")
 def temporality_policy(spark, sf):
     values = ["past", "current", "chronic", "future", "never", None]

@@ -44,6 +44,14 @@ def _shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the shared folder for files that an operator writes and reads; deleted when the application ends."""
+    path = f"{_shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the cluster's shared checkpoint folder and read it from there.
 

@@ -16,7 +16,7 @@ def csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists", o
     """CSV with a header and doubled quotes; arrays, maps and structs as JSON with their nulls."""
     nested = [c for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]
     flat = df.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in nested})
-    (flat.coalesce(1) if one_file else flat).write.mode(mode).csv(path, header=True, sep=sep, escape='"', emptyValue="")
+    (flat.coalesce(1) if one_file else flat).write.mode(mode).csv(path, header=True, sep=sep, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def records_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -40,7 +40,7 @@ def admissions_csv(df: DataFrame, path: str, order: str = "admission_date", mode
 def admission_folders(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A folder of CSV files for each admission."""
     nested = [c for c, kind in df.dtypes if kind.startswith(("array", "map", "struct"))]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).partitionBy("admission_id").csv(path, header=True, escape='"')
+    df.withColumns({c: F.to_json(c) for c in nested}).write.mode(mode).partitionBy("admission_id").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

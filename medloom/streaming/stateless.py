@@ -22,17 +22,28 @@ def candidates(stream: DataFrame, key: str, text: str) -> DataFrame:
     return candidate_terms(stream, key, text)
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """Watermarks want times with a zone; those without count as the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def counted(stream: DataFrame, time: str, kind: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Rows of each kind in each window; rows later than ``late`` are dropped with their window's state."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("window"), kind).agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", kind, "n")
+    return _timed(stream, time, late).groupBy(F.window(time, window).alias("window"), kind).agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", kind, "n")
 
 
 def deduplicated(stream: DataFrame, time: str, keys: list[str], late: str = "1 day") -> DataFrame:
     """The first row of each key; a key is forgotten after ``late``."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(stream, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there into Parquet and stop; run again for what is new."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def tables_of(aggregated: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there and stop; the whole result of a streaming aggregate replaces the table at ``path``."""
+    save = lambda rows, batch: rows.write.mode("overwrite").parquet(path)
+    aggregated.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start().awaitTermination()

@@ -26,6 +26,8 @@ def test_label_documents(spark, tmp_path):
     got = apps.label_documents(docs, manifest, new)
     assert {r["label"]: r.predicted for r in got.collect()}["cro"] and got.count() == len(schemas.DOCUMENT_LABELS)
     apps.export_labels(got, f"{tmp_path}/labels")
+    shown = spark.read.csv(f"{tmp_path}/labels", header=True, sep=";").first()
+    assert shown["cro_evidence"].startswith("a.txt | 1.0 | operation") and len(shown["cro_evidence"]) == 250 and shown["crh_evidence"] is None
     described = apps.describe(docs, manifest)
     assert described["summary"].first().n_files == 2 and described["labels"].count() == 3
 
@@ -51,6 +53,9 @@ def test_expand(spark):
     vocabulary = spark.createDataFrame([(1, "D2", ["Hypertension"], ["High Blood Pressure"], ["C14"], "Pressure.", "x")], "line_no int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.VOCABULARY))
     docs = spark.createDataFrame([("d", "hypertension artérielle (HTA) with pressure")], "doc_id string, text string")
     got = {(r.candidate_term, r.candidate_type): r.mesh_ui_suggested for r in apps.expand_vocabulary(docs, vocabulary).collect()}
+    rows = apps.expand_vocabulary(docs, vocabulary, embedded=spark.createDataFrame([("D9", [1.0] * 256)], "entry_id string, vector array<float>")).collect()
+    assert {r.context_snippet for r in rows if r.candidate_type != "candidate_term"} == {"hypertension artérielle (HTA) with pressure"}
+    assert all(r.comment.startswith("vector_ui=D9 ") for r in rows if r.candidate_type == "candidate_term")
     assert got[("HTA", "abbreviation")] == "" and got[("pressure", "candidate_term")] == "D2" and ("hypertension", "candidate_term") not in got
 
 

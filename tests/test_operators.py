@@ -2,8 +2,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.models import WordLevel
+from tokenizers.pre_tokenizers import Whitespace
 
 from medloom import schemas
 from medloom.operators import admissions, candidates, eda, encoders, entities, fulltext, metrics, ml, segments, validation, vectors
@@ -236,3 +240,87 @@ def test_training(spark, tmp_path):
     assert ml.predict(ml.load(str(tmp_path / "m")), df).first().predicted_label == "a"
     with pytest.raises(ValueError):
         ml.classifier("none")
+
+
+def test_nearest_beside_and_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)]
+    index = spark.createDataFrame(rows + [(99, None), (98, [1.0])], "entry_id int, vector array<float>")
+    queries = spark.createDataFrame(rows[:20], "query_id int, vector array<float>")
+    beside, blocks = ({(r.query_id, r["rank"]): (r.entry_id, r.score) for r in vectors.nearest(queries, index, 4, few=few).collect()} for few in (vectors.FEW, 0))
+    assert beside == blocks and len(beside) == 80
+    assert vectors.nearest(queries.limit(0), index).count() == vectors.nearest(queries, index.limit(0)).count() == 0
+
+
+def test_stored_indexes(spark, vocabulary, tmp_path):
+    flat = vocabulary.withColumn("p", F.array_join("preferred_terms", " | "))
+    fulltext.StoredIndex.write(flat, "ui", "ui", "p", "scope_note", path=f"{tmp_path}/text")
+    index = fulltext.StoredIndex.open(spark, f"{tmp_path}/text")
+    asked = spark.createDataFrame([(1, "hypertension"), (2, "nothing here"), (3, None)], "query_id int, query string")
+    assert [(r.query_id, r.key) for r in index.search(asked).collect()] == [(1, "D000002")]
+    assert "In(term" in index.search(asked)._jdf.queryExecution().toString() or "EqualTo(term" in index.search(asked)._jdf.queryExecution().toString()
+    vectors.write_index(spark.createDataFrame([(1, [3.0, 4.0]), (2, None)], "entry_id int, vector array<float>"), f"{tmp_path}/v")
+    assert [list(r.vector) for r in vectors.open_index(spark, f"{tmp_path}/v").collect()] == [[0.6, 0.8]]
+
+
+def test_detect(spark, vocabulary, tmp_path):
+    flat = vocabulary.withColumn("p", F.array_join("preferred_terms", " | "))
+    fulltext.StoredIndex.write(flat, "ui", "ui", "p", path=f"{tmp_path}/text")
+    docs = spark.createDataFrame([("d", "Hypertension, infarction"), ("e", None), ("f", "")], "name string, text string")
+    entries = entities.label_dictionary(vocabulary)
+    got = {(r.name, r.ui, r.label, r.start, r.method) for r in entities.detect(docs, entries, "name", "text", fulltext.StoredIndex.open(spark, f"{tmp_path}/text")).collect()}
+    assert got == {("d", "D000002", "hypertension", 0, "dict"), ("d", "D000002", "Hypertension", -1, "fts"), ("d", "D000001", "infarction", -1, "fts")}
+    assert entities.detect(docs, entries, "name", "text").count() == 1
+
+
+def test_labels_and_chains(spark):
+    near = spark.createDataFrame([(7, 1, 10, 0.6, 1, "a"), (7, 1, 11, 0.4, 2, "b")], "doc int, query_id int, entry_id int, score double, rank int, label string")
+    limits = spark.createDataFrame([(0, "a", 0.7), (1, "b", 0.3)], "pos int, label string, threshold double")
+    assert {r.label: r.predicted for r in vectors.hybrid_labels(near, limits, "doc").collect()} == {"a": False, "b": True}
+    second = spark.createDataFrame([(7, "a", 0.9), (8, "b", 0.1)], "doc int, label string, score double")
+    assert {(r.doc, r.label): r.predicted for r in vectors.hybrid_labels(near, limits, "doc", similarity=False, classified=second).collect()} == {(7, "a"): True, (8, "b"): False}
+    for bad in (lambda: vectors.hybrid_labels(near, limits, "doc", similarity=False), lambda: vectors.hybrid_labels(near, limits.limit(0), "doc"), lambda: vectors.hybrid_labels(near, limits.union(limits), "doc")):
+        with pytest.raises(ValueError):
+            bad()
+    scores = spark.createDataFrame([(1, [0.2, 0.7, 0.1]), (2, []), (3, None)], "id int, p array<double>")
+    parents = spark.createDataFrame([("y", "x"), ("x", None)], "code string, parent string")
+    got = {(r.id, r.code, round(r.score, 6)) for r in metrics.postprocess(scores, "id", "p", ["x", "y", "z"], 1, parents=parents).collect()}
+    assert got == {(1, "y", 0.7), (1, "x", 0.63)}
+    assert {r.code for r in metrics.postprocess(scores, "id", "p", ["x", "y", "z"], thresholds={"x": 0.1, "y": 0.8, "z": 0.1}).collect()} == {"x", "z"}
+
+
+def test_chunks_of_a_hot_key(spark):
+    rows = [("hot" if i % 3 else "k%d" % i, i, "t%d" % i * (i % 4)) for i in range(60)] + [(None, 1, "x"), ("hot", 99, None)]
+    df = spark.createDataFrame(rows, "key string, n int, text string")
+    wanted = {}
+    for key in {r[0] for r in rows}:
+        at = 0
+        for _, _, t in sorted(r for r in rows if r[0] == key and r[2] is not None):
+            wanted.setdefault((key, at // 20), []).append(t)
+            at += len(t) + 1
+    got = {(r.key, r.chunk): r.text for r in admissions.text_chunks(df, "key", "text", "n", 20).collect()}
+    assert got == {k: " ".join(v) for k, v in wanted.items()}
+    with pytest.raises(ValueError):
+        admissions.joined_text(df, "key", "text", "n", most=10)
+
+
+def test_encoders_of_words_and_models(spark, tmp_path):
+    assert encoders.mean_pool(np.array([[[1.0, 2.0], [3.0, 4.0]], [[5.0, 5.0], [1.0, 1.0]]]), np.array([[1, 1], [0, 0]])).tolist() == [[2.0, 3.0], [0.0, 0.0]]
+    vocab = Tokenizer(WordLevel({"[UNK]": 0, "a": 1, "b": 2, "[PAD]": 3}, unk_token="[UNK]"))
+    vocab.pre_tokenizer = Whitespace()
+    vocab.save(f"{tmp_path}/tokenizer.json")
+
+    class Session:
+        def get_inputs(self):
+            return [type("Input", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, given):
+            assert set(given) == {"input_ids", "attention_mask"}
+            return [np.stack([given["input_ids"], given["input_ids"] ** 2], axis=-1).astype(np.float32)]
+
+    run = encoders.onnx_backend(str(tmp_path), open_session=lambda folder: Session())()
+    assert run(["a b", "b"]).tolist() == [[1.5, 2.5], [2.0, 4.0]]
+    table = spark.createDataFrame([("<ab>", [1.0]), ("<ab", [3.0]), ("bcd", [5.0])], "word string, vector array<double>")
+    docs = spark.createDataFrame([(1, "Ab abcd"), (2, "zz"), (3, None)], "id int, text string")
+    got = {r.id: r.vector[0] for r in encoders.mean_of_subwords(docs, "id", "text", table, 1).collect()}
+    assert got == {1: 3.0, 2: 0.0, 3: 0.0}

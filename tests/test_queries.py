@@ -5,18 +5,20 @@ import hashlib
 import math
 import os
 import re
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.ml.feature import HashingTF
 
 import __spark_entry__ as entry
 from medloom.functions import text as T
-from medloom.plans import catalogue, general
+from medloom.plans import catalogue, composed, general
 from medloom.runtime import default_data
 
 DATA = default_data()
-SQL = catalogue.SQL | general.SQL
-QUERIES = catalogue.QUERIES | general.QUERIES
+SQL = catalogue.SQL | general.SQL | composed.SQL
+QUERIES = catalogue.QUERIES | general.QUERIES | composed.QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -43,14 +45,38 @@ def agree(df, cursor):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(n for n in SQL if not n.startswith(("taxonomy_anc", "taxonomy_desc", "p4_desc"))))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_like_sql(spark, duck, name):
     agree(QUERIES[name](spark, DATA), duck.execute(SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"logreg_predict"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    df = QUERIES[name](spark, DATA)
+    rows = df.collect()
+    assert rows and len(rows[0]) == len(df.columns)
+
+
+def test_packed_values_of_plain_cells(spark):
+    """p3 against a plain division, for the cells that have one divider and no quotes or brackets."""
+    rows = [(r.line_no, r.synonyms) for r in spark.read.parquet(f"{DATA}/mesh.parquet").select("line_no", "synonyms").collect()]
+    rows = [(n, s) for n, s in rows if s and re.fullmatch(r"[^\"\[\],;#\n\t]*(\|[^\"\[\],;#\n\t]*)+", s)]
+    wanted = sorted((n, i, x) for n, s in rows for i, x in enumerate(x.strip() for x in s.split("|") if x.strip()))
+    got = QUERIES["p3_found"](spark, DATA).filter("tbl = 'mesh' and field_name = 'synonyms'").collect()
+    assert wanted and sorted((r.row_no, r.pos, r["item"]) for r in got if r.row_no in {n for n, _ in rows}) == wanted
+
+
+def test_hashed_features_like_sparks_hash(spark):
+    rows = catalogue._labelled_texts(spark, DATA).collect()
+    hashing = HashingTF(numFeatures=1 << 20, inputCol="t", outputCol="f")
+    wanted = {}
+    for r in rows:
+        words = re.findall(r"\b\w\w+\b", r.text)
+        counts = Counter(hashing.indexOf(t) for t in words + [" ".join(p) for p in zip(words, words[1:])])
+        length = math.sqrt(sum(n * n for n in counts.values()))
+        wanted |= {(r.filename, place): n / length for place, n in counts.items()}
+    got = {(r.filename, r.place): r.weight for r in QUERIES["hashing_features"](spark, DATA).collect()}
+    assert got == pytest.approx(wanted, abs=1e-6)
 
 
 def test_entry(spark):
@@ -64,7 +90,7 @@ def plan(df):
 
 def test_plans(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(QUERIES["candidate_terms"](spark, DATA))
-    for name in ("candidate_terms", "segment_windows", "normalize_spaces", "tokenize_words", "judge_baseline"):
+    for name in ("candidate_terms", "segment_windows", "mask_pii", "normalize_spaces", "tokenize_words", "judge_baseline"):
         assert "Python" not in plan(QUERIES[name](spark, DATA))
     assert "Exchange" not in plan(QUERIES["candidate_terms"](spark, DATA))
     assert "WindowGroupLimit" in plan(QUERIES["upsert_last_wins"](spark, DATA))

@@ -74,3 +74,20 @@ def test_streams(spark, tmp_path):
     assert {r.k: r.t for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: "write to <email> now".replace("<email>", "<EMAIL>"), 2: None}
     stateless.run_to_end(stateless.candidates(stateless.parquet_stream(spark, f"{tmp_path}/in", rows), "k", "t"), f"{tmp_path}/out2", f"{tmp_path}/check2")
     assert spark.read.parquet(f"{tmp_path}/out2").select(F.count("*")).first()[0] == 2
+
+
+def test_small_files(spark, tmp_path):
+    df = spark.createDataFrame([(0.5, None, " a|b ")], "accuracy double, note string, name string")
+    writers.json_object(df, f"{tmp_path}/m.json")
+    assert readers.json_object(spark, f"{tmp_path}/m.json", df.schema).first() == df.first()
+    writers.markdown(df, "Report", f"{tmp_path}/m.md")
+    assert open(f"{tmp_path}/m.md").read().splitlines()[0::4] == ["# Report", "| 0.5 |  |  a\\|b  |"]
+    digest = writers.checksum_file(spark, f"{tmp_path}/m.json")
+    assert open(f"{tmp_path}/m.json.sha256").read() == f"{digest}  m.json\n"
+    writers.csv(df, f"{tmp_path}/c")
+    assert spark.read.csv(f"{tmp_path}/c", header=True).first()["name"] == " a|b "
+    put(f"{tmp_path}/x/desc2024.xml", "")
+    put(f"{tmp_path}/x/desc2025.xml", "")
+    assert readers.descriptor_file(f"{tmp_path}/x").endswith("desc2025.xml")
+    with pytest.raises(readers.MissingData):
+        readers.descriptor_file(str(tmp_path))
