@@ -74,14 +74,25 @@ def p5_topk(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.exact_top_k(_queries(vectors), vectors).select(F.col("key").alias("ui"), F.col("other").alias("other_ui"), F.round("cosine", 6).alias("cosine"), "nth")
 
 
+def p5_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """About the ten most similar of every ui whose number is divisible by 50, by multi-index hashing over all vectors."""
+    vectors = cut(_vectors(spark, sf))
+    return neighbours.top_k(_queries(vectors), vectors).select(F.col("key").alias("ui"), F.col("other").alias("other_ui"), F.round("cosine", 6).alias("cosine"), "nth")
+
+
 def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of p5_found against the exact search, over the query set."""
+    """Both searches against the exact one over the query set: pairs of p5_found, and neighbours of p5_similar."""
     vectors = cut(_vectors(spark, sf))
-    near = neighbours.exact_top_k(_queries(vectors), vectors).filter("cosine >= 0.95").select("key", "other")
-    back = neighbours.exact_top_k(near.select(F.col("other").alias("key")).distinct().join(vectors, "key"), vectors).select(F.col("key").alias("other"), F.col("other").alias("key"))
+    ten = cut(neighbours.exact_top_k(_queries(vectors), vectors))
+    near = ten.filter("cosine >= 0.95").select("key", "other")
+    asked = cut(near.select(F.col("other").alias("key")).distinct().join(vectors, "key"))
+    back = neighbours.exact_top_k(asked, vectors).select(F.col("key").alias("other"), F.col("other").alias("key"))
     true = near.join(back, ["key", "other"]).select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b")).distinct()
     found = neighbours.close_pairs(vectors).select("key_a", "key_b", F.lit(1).alias("hit"))
-    return true.join(found, ["key_a", "key_b"], "left").agg(F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+    counts = (F.count(F.lit(1)).alias("n_true"), F.count("hit").alias("n_found"))
+    pairs = true.join(found, ["key_a", "key_b"], "left").agg(*counts).select(F.lit("pairs").alias("search"), "*")
+    similar = neighbours.top_k(_queries(vectors), vectors).select("key", "other", F.lit(1).alias("hit"))
+    return pairs.unionByName(ten.join(similar, ["key", "other"], "left").agg(*counts).select(F.lit("top").alias("search"), "*"))
 
 
 def _clinical_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +166,7 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
-    "p5_found": p5_found, "p5_topk": p5_topk, "p5_recall": p5_recall,
+    "p5_found": p5_found, "p5_topk": p5_topk, "p5_similar": p5_similar, "p5_recall": p5_recall,
     "p6_found": p6_found, "p6_sanitised": p6_sanitised, "p6_disclosure": p6_disclosure,
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_levels": p9_levels,
