@@ -1,17 +1,21 @@
 """Personal information in free text: finding it and replacing it by typed placeholders.
 
-Numbers, e-mail addresses and postal addresses have forms that patterns describe. Names don't: "Tarvaud" is a name after
-"Mme" and a sign after "signe de". They are found by what the corpus says about a word:
+E-mail addresses, postal addresses and phone numbers have forms that patterns describe. Names and most identity numbers
+don't: "Tarvaud" is a name after "Mme" and a sign after "signe de", ten digits are a patient's or a device's. They are
+found by what the corpus says about a term:
 
 1. Over all texts, every capitalised word is counted, and how often it stands in a protected position (after a title, a
    family relation, "dictated by" and the like). The pointwise mutual information of the word and the protected position
-   is its disclosure; a word above the threshold reveals persons, a word seen often and below it does not.
-2. Positions without such a cue ("... signed the form") are counted with the words that fill them; a position mostly
-   filled by disclosing words is protected too.
-3. Every run of capitalised words is then judged: words that disclose, or stand in a protected position and are not known
+   is its disclosure in bits; a word that discloses so much that at most LEFT bits of the surprise of a protected position
+   are left reveals persons, a word seen often that doesn't is harmless.
+2. Positions without such a cue ("... signed the form") are counted with the words that fill them; a position that
+   discloses as much about disclosing words (LEFT_POSITION) is protected too.
+3. Likewise the words before numbers: a context discloses by how often numbers in it have a form that only identity
+   numbers have. A number of another form is an identity number if its context discloses (LEFT_CONTEXT).
+4. Every run of capitalised words is then judged: words that disclose, or stand in a protected position and are not known
    to be harmless, are names.
 
-The two decisions about words and the one about positions travel as bit sets of a fixed size, whatever the vocabulary.
+The decisions travel as Bloom filters, sized by the number of their members for a stated share of false ones.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +34,19 @@ from pyspark.sql import functions as F
 from medloom.runtime import cut
 
 KINDS = ("NAME", "PHONE", "EMAIL", "IDNUM", "ADDRESS")
-#: Bits of each of the three sets; two of them are set for each member.
-BITS = 1 << 24
-#: Share of protected positions among a word's occurrences from which it discloses, and occurrences from which a word
-#: below that is known to be harmless.
-DISCLOSING, HARMLESS_FROM = 0.3, 4
-#: The same for positions: share of disclosing words, and occurrences needed.
-POSITION, POSITION_FROM = 0.6, 5
+#: Share of strangers that a filter takes for members, and bits set for each member; 38 bits a member give that share. A
+#: filter ends at MOST_BITS (256 MB), which 56 million members fill; with more its share of false ones rises.
+FALSE_MEMBERS, HASHES, MOST_BITS = 1e-4, 4, 1 << 31
+#: Bits of a filter that one row brings to the driver.
+BLOCK_BITS = 1 << 20
+#: Bits of surprise about what is protected that a disclosing term leaves at most: a word about its position, a position about
+#: its words, a context about its number. What a term discloses is the surprise without it, log2 of one over how often
+#: anything is protected, less what it leaves.
+LEFT, LEFT_POSITION, LEFT_CONTEXT = 1.75, 0.75, 3.25
+#: Occurrences from which a word below that is known to be harmless.
+HARMLESS_FROM = 4
+#: Occurrences from which a position may be protected.
+POSITION_FROM = 5
 #: Letters of an ending, disclosing words that share it, and their share of all words that do.
 ENDING, ENDING_FROM, ENDING_SHARE = 4, 8, 0.7
 
@@ -99,8 +110,10 @@ ADDRESS_EN = re.compile(
     rf"(?<![\w.,/])\d{{1,4}}[A-D]? [{_UP}][\w'’]+(?: [{_UP}][\w'’]+)* ?\b(?:{STREETS_EN})\b\.?(?:(?<=\.)(?=,)|(?<!\.))"
     rf"(?:, {_TOWN}(?:,? (?:[A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}}|[A-Z]{{2}} \d{{5}}))?)?"
 )
-def patterned(text: str) -> list[tuple[int, int, str]]:
-    """Spans of everything but names, without overlaps; the earlier kind in the order below wins."""
+def patterned(text: str, identifies=None) -> list[tuple[int, int, str]]:
+    """Spans of everything but names, without overlaps; the earlier kind in the order below wins.
+
+    ``identifies`` says of a text and a place whether an identity number is expected there; by default words that say so."""
     found: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -121,7 +134,7 @@ def patterned(text: str) -> list[tuple[int, int, str]]:
             add(start - len(before[0]) if before else start, m.end(), "ADDRESS")
     if _LONG.search(text):
         for m in CUED_ID.finditer(text):
-            if _SAYS_ID.search(text[max(0, m.start() - 40) : m.start()]):
+            if (identifies or says_identity)(text, m.start()):
                 add(m.start(), m.end(), "IDNUM")
         for m in PHONE_ANY.finditer(text):
             add(m.start(), m.end(), "PHONE")
@@ -136,21 +149,46 @@ PHONE_ANY = re.compile(PHONE.pattern.replace(r"(?<![\w+.(\-])", r"(?<![\w+.\-])"
 _LONG = re.compile(r"\d(?:[ .()\-  A-Z]{0,3}\d){5}|clé")
 
 
-def _mix(word: str) -> tuple[int, int]:
-    h = hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest()
-    return int.from_bytes(h[:4], "little") % BITS, int.from_bytes(h[4:], "little") % BITS
+def says_identity(text: str, at: int) -> bool:
+    """Whether words before a number say that it identifies a person."""
+    return bool(_SAYS_ID.search(text[max(0, at - 40) : at]))
+
+
+#: Before a context in the sets that words and contexts share.
+_CONTEXT = "\x01"
+
+
+def contexts(text: str, at: int) -> tuple[str, str]:
+    """The two words before a number, and the last of them, as members of the sets."""
+    words = [w.lower() for w in _LETTERS.findall(text[max(0, at - 40) : at])[-2:]]
+    return _CONTEXT + " ".join(words), _CONTEXT + (words[-1] if words else "")
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DIGITS = re.compile(r"\d+")
+
+
+def filter_bits(members: int) -> int:
+    """Bits of a filter: a power of two with at least 38 for each member, at least 2^20, at most MOST_BITS."""
+    each = -HASHES / math.log(1 - FALSE_MEMBERS ** (1 / HASHES))
+    return min(MOST_BITS, max(BLOCK_BITS, 1 << math.ceil(math.log2(max(1, members) * each))))
+
+
+def _places(word: str, bits: int) -> list[int]:
+    h = hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=16).digest()
+    a, b = int.from_bytes(h[:8], "little"), int.from_bytes(h[8:], "little") | 1
+    return [(a + i * b) % bits for i in range(HASHES)]
 
 
 class BitSet(dict):
-    """Members of a fixed number of bits; as a dict it remembers the answers of one worker."""
+    """A Bloom filter in bytes; as a dict it remembers the answers of one worker."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, filled: bytes):
         super().__init__()
-        self.words = words
+        self.filled, self.bits = filled, len(filled) * 8
 
     def __missing__(self, key: str) -> bool:
-        a, b = _mix(key)
-        yes = bool(self.words[a >> 6] >> np.uint64(a & 63) & np.uint64(1)) and bool(self.words[b >> 6] >> np.uint64(b & 63) & np.uint64(1))
+        yes = all(self.filled[at >> 3] >> (at & 7) & 1 for at in _places(key, self.bits))
         if len(self) < 400_000:
             self[key] = yes
         return yes
@@ -234,10 +272,10 @@ def _bare(token: str) -> str:
     return token[2:] if token[1:2] == "'" else token.rstrip(".")
 
 
-def count_words(texts) -> tuple[Counter, Counter, Counter]:
-    """Occurrences of each capitalised word, those in protected positions, and (position, word) of the runs that open a
-    sentence without a cue."""
-    all_, protected, positions = Counter(), Counter(), Counter()
+def count_words(texts) -> tuple[Counter, Counter, Counter, int]:
+    """Occurrences of each capitalised word and of each context of a number, those in protected positions or of numbers of a
+    sure form, (position, word) of the runs that open a sentence without a cue, and how many numbers there are."""
+    all_, protected, positions, numbers = Counter(), Counter(), Counter(), 0
     for text in texts:
         for run in runs(text):
             for _, _, token in run.tokens:
@@ -251,7 +289,14 @@ def count_words(texts) -> tuple[Counter, Counter, Counter]:
                 for _, _, token in run.tokens:
                     if len(word := _bare(token)) > 1:
                         positions[(ahead, word)] += 1
-    return all_, protected, positions
+        numbers += len(_DIGITS.findall(text))
+        if _LONG.search(text):
+            for m in CUED_ID.finditer(text):
+                sure = SURE_ID.fullmatch(m[0]) is not None or says_identity(text, m.start())
+                for context in set(contexts(text, m.start())):
+                    all_[context] += 1
+                    protected[context] += sure
+    return all_, protected, positions, numbers
 
 
 class Judge:
@@ -261,6 +306,11 @@ class Judge:
         self.disclosing, self.harmless, self.positions = disclosing, harmless, positions
         self.small = _SmallWords(disclosing)
 
+    def identifies(self, text: str, at: int) -> bool:
+        """Whether the words before a number disclose: both of them, or where they are rare the last."""
+        two, one = contexts(text, at)
+        return self.disclosing[two] or (not self.harmless[two] and self.disclosing[one])
+
     def names(self, text: str) -> list[tuple[int, int]]:
         """Spans of names."""
         out = []
@@ -359,7 +409,7 @@ _SMALL = re.compile(rf"(?<![\w@.+'’-])[{_LOW}]+(?:['’-][{_LOW}]+)*\.?(?: [{_
 
 def items(text: str, judge: Judge) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every personal item, in order, without overlaps. Names inside other items are no items."""
-    found = patterned(text)
+    found = patterned(text, judge.identifies)
     spans = [(a, b) for a, b, _ in found]
     for start, end in judge.names(text):
         if all(end <= a or start >= b for a, b in spans):
@@ -384,70 +434,99 @@ def replaced(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def disclosure(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word, n, n_protected, disclosure in bits) of every capitalised word, and (position, word, n) of open positions.
+def threshold(base: float, left: float) -> float:
+    """Bits from which a term discloses, where anything is protected with probability ``base``."""
+    return -math.log2(base) - left
+
+
+def _shares(words: DataFrame, numbers: int) -> tuple[float, float]:
+    """How often any word is protected, and any number (of ``numbers``) a sure one."""
+    context = F.col("word").startswith(_CONTEXT)
+    # a number counts once for each of its two contexts
+    w, p, c = words.agg(F.sum(F.when(~context, F.col("n"))), F.sum(F.when(~context, F.col("n_protected"))), F.sum(F.when(context, F.col("n_protected")))).first()
+    return ((p or 0) + 1.0) / ((w or 0) + 1.0), ((c or 0) / 2 + 1.0) / (numbers + 1.0)
+
 
-    In: one column, text. Counts are of all texts; each task sends one row for each word or position it met.
+def disclosure(texts: DataFrame) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+    """(word, n, n_protected, disclosure in bits) of every capitalised word and every context of a number (after a control
+    character), (position, word, n) of open positions, and how often any word and any number is protected.
+
+    In: one column, text. Counts are of all texts; each task sends one row for each term or position it met.
     """
 
     def run(batches):
         total = [Counter(), Counter(), Counter()]
 
-        def rows():
+        def rows(numbers=0):
             words, protected, positions = total
-            keys = list(words) + [f"{p}" for p, _ in positions]
-            second = [None] * len(words) + [w for _, w in positions]
-            n = list(words.values()) + list(positions.values())
-            p = [protected[w] for w in words] + [0] * len(positions)
+            keys = list(words) + [f"{p}" for p, _ in positions] + [None]
+            second = [None] * len(words) + [w for _, w in positions] + [None]
+            n = [*words.values(), *positions.values(), numbers]
+            p = [protected[w] for w in words] + [0] * (len(positions) + 1)
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(second, pa.string()), pa.array(n, pa.int64()), pa.array(p, pa.int64())], names=["key", "word", "n", "p"])
 
+        numbers = 0
         for batch in batches:
-            for sum_, more in zip(total, count_words(t for t in batch.column(0).to_pylist() if t)):
-                sum_.update(more)
+            *counted, more = count_words(t for t in batch.column(0).to_pylist() if t)
+            numbers += more
+            for sum_, new in zip(total, counted):
+                sum_.update(new)
             if len(total[0]) + len(total[2]) > 300_000:
                 yield rows()
                 total = [Counter(), Counter(), Counter()]
-        yield rows()
+        yield rows(numbers)
 
     counts = cut(texts.select("text").filter("text is not null").mapInArrow(run, "key string, word string, n bigint, p bigint"))
-    words = counts.filter("word is null").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum("p").alias("n_protected"))
-    sums = counts.filter("word is null").agg(F.sum("n"), F.sum("p")).first()
-    base = math.log2((sums[1] or 0) + 1.0) - math.log2((sums[0] or 0) + 1.0)
-    words = words.withColumn("disclosure", F.log2((F.col("n_protected") + 0.01) / F.col("n")) - F.lit(base))
+    words = cut(counts.filter("key is not null and word is null").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("n"), F.sum("p").alias("n_protected")))
+    numbers = counts.filter("key is null").agg(F.sum("n")).first()[0] or 0
+    base = _shares(words, numbers)
+    chance = F.when(F.col("word").startswith(_CONTEXT), base[1]).otherwise(base[0])
+    words = words.withColumn("disclosure", F.log2((F.col("n_protected") + 0.01) / F.col("n") / chance))
     positions = counts.filter("word is not null").groupBy(F.col("key").alias("position"), "word").agg(F.sum("n").alias("n"))
-    return words, positions
+    return words, positions, base
 
 
-def _bit_set(members: DataFrame) -> np.ndarray:
-    """The bits of a one-column table of strings; at most BITS / 64 rows reach the driver."""
+def _bit_set(members: DataFrame) -> bytes:
+    """The filter of a one-column table of strings. Blocks of it are made where their members are; the driver receives the
+    blocks only, MOST_BITS at most."""
+    bits = filter_bits(members.count())
+    blocks = -(-bits // BLOCK_BITS)
 
     def run(batches):
         for batch in batches:
-            bits = [x for key in batch.column(0).to_pylist() for x in _mix(key)]
-            slots = np.array(bits, np.int64)
-            one = np.left_shift(np.uint64(1), (slots & 63).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots >> 6), pa.array(one)], names=["slot", "bit"])
-
-    rows = members.mapInArrow(run, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(BITS >> 6, np.uint64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+            at = np.array([x for key in batch.column(0).to_pylist() for x in _places(key, bits)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK_BITS).astype(np.int32)), pa.array((at % BLOCK_BITS).astype(np.int32))], names=["block", "at"])
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(BLOCK_BITS, bool)
+        block[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"block": pdf["block"][:1], "filled": [np.packbits(block, bitorder="little").tobytes()]})
+
+    rows = members.mapInArrow(run, "block int, at int").groupBy("block").applyInPandas(fill, "block int, filled binary").toPandas()
+    made = dict(zip(rows["block"], rows["filled"]))
+    empty = bytes(BLOCK_BITS // 8)
+    return b"".join(bytes(made.get(i, empty)) for i in range(blocks))
 
 
-def learn(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sets of disclosing words (and endings), harmless words and protected positions of a corpus.
+def learn(texts: DataFrame) -> tuple[bytes, bytes, bytes]:
+    """The sets of disclosing terms (words, endings, contexts of numbers), harmless ones and protected positions of a corpus.
 
     Positions are learned from the words that titles and the like reveal; then words are counted again with these
     positions, and endings that many disclosing words and hardly any other words share disclose too.
     """
-    words, positions = disclosure(texts)
-    discloses = (F.col("n_protected") >= DISCLOSING * F.col("n")).alias("discloses")
-    filled = positions.join(words.select("word", discloses), "word").groupBy("position").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("discloses").cast("int")).alias("k"))
-    protected = cut(filled.filter((F.col("n") >= POSITION_FROM) & (F.col("k") >= POSITION * F.col("n"))).select("position"))
+    words, positions, base = disclosure(texts)
+    context = F.col("word").startswith(_CONTEXT)
+    bits = F.log2((F.col("n_protected") + 0.01) / F.col("n") / F.when(context, base[1]).otherwise(base[0]))
+    discloses = (bits >= F.when(context, threshold(base[1], LEFT_CONTEXT)).otherwise(threshold(base[0], LEFT))).alias("discloses")
+    filled = cut(positions.join(words.select("word", discloses), "word").groupBy("position").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("discloses").cast("int")).alias("k")))
+    k, n = filled.agg(F.sum("k"), F.sum("n")).first()
+    chance = ((k or 0) + 1.0) / ((n or 0) + 1.0)
+    found = F.log2(F.col("k") / F.col("n") / chance) >= threshold(chance, LEFT_POSITION)
+    protected = cut(filled.filter((F.col("n") >= POSITION_FROM) & (F.col("k") > 0) & found).select("position"))
     more = positions.join(protected, "position").groupBy("word").agg(F.sum("n").alias("more"))
     words = words.join(more, "word", "left").withColumn("n_protected", F.col("n_protected") + F.coalesce("more", F.lit(0)))
     words = cut(words.select("word", "n", discloses))
-    endings = words.filter(F.length("word") > ENDING + 1).groupBy(F.concat(F.lit("~"), F.substring("word", -ENDING, ENDING)).alias("word"))
+    endings = words.filter(~context & (F.length("word") > ENDING + 1)).groupBy(F.concat(F.lit("~"), F.substring("word", -ENDING, ENDING)).alias("word"))
     endings = endings.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("discloses").cast("int")).alias("k")).filter((F.col("k") >= ENDING_FROM) & (F.col("k") >= ENDING_SHARE * F.col("n")))
     return (
         _bit_set(words.filter("discloses").select("word").unionByName(endings.select("word"))),
@@ -456,11 +535,11 @@ def learn(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def _per_text(rows: DataFrame, sets, schema: str, each) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(tuple(s.tobytes() for s in sets))
+def _per_text(rows: DataFrame, sets: tuple[bytes, bytes, bytes], schema: str, each) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(tuple(sets))
 
     def run(batches):
-        judge = Judge(*(BitSet(np.frombuffer(b, np.uint64)) for b in shared.value))
+        judge = Judge(*map(BitSet, shared.value))
         for batch in batches:
             yield each(batch, judge)
 

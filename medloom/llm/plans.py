@@ -112,8 +112,10 @@ def p6_sanitised(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_disclosure(spark: SparkSession, sf: str) -> DataFrame:
-    """How much each capitalised word of the corpus says about persons: information about protected positions in bits."""
-    return personal.disclosure(_clinical_texts(spark, sf))[0]
+    """How much each capitalised word of the corpus, and each context of its numbers, says about persons, in bits."""
+    words = personal.disclosure(_clinical_texts(spark, sf))[0]
+    context = F.col("word").startswith(personal._CONTEXT)
+    return words.select(F.when(context, "context").otherwise("word").alias("kind"), F.ltrim("word", F.lit(personal._CONTEXT)).alias("term"), "n", "n_protected", "disclosure")
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,5 @@
-import numpy as np
+import math
+
 import pytest
 
 from medloom.llm import personal
@@ -15,8 +16,8 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def judge():
-    words, protected, positions = personal.count_words(TEXTS)
-    disclosing = {w for w in words if protected[w] >= personal.DISCLOSING * words[w]}
+    words, protected, positions, _ = personal.count_words(TEXTS)
+    disclosing = {w for w in words if protected[w] >= 2**-personal.LEFT * words[w]} | {"\x01" + x for x in ("nir", "health number", "insurance number", "passport")}
     harmless = {w for w in words if w not in disclosing and words[w] >= personal.HARMLESS_FROM}
 
     class Some(dict):
@@ -85,12 +86,24 @@ def test_tables(spark):
     clean = {r.row_key: r.text for r in personal.sanitise(df, sets).collect()}
     assert clean["n"] is None and clean["e"] == "" and "Valorne" not in clean["1"]
     none = personal.learn(df.limit(0))
-    assert all(not s.any() for s in none) and personal.find_personal(df.limit(0), none).count() == 0
-
-
-def test_bit_set():
-    bits = np.zeros(personal.BITS >> 6, np.uint64)
-    for x in personal._mix("name"):
-        bits[x >> 6] |= np.uint64(1) << np.uint64(x & 63)
-    made = personal.BitSet(bits)
-    assert made["name"] and not made["other"] and made["name"]
+    assert all(not any(s) for s in none) and personal.find_personal(df.limit(0), none).count() == 0
+
+
+def test_bit_set(spark):
+    members = [f"name{i}" for i in range(40_000)]
+    made = personal.BitSet(personal._bit_set(spark.createDataFrame([(x,) for x in members], "word string")))
+    assert made.bits == personal.filter_bits(len(members)) > personal.BLOCK_BITS and all(made[x] for x in members)
+    # sized by the count, so the share of false members stays as stated at any size
+    assert sum(made[f"other{i}"] for i in range(50_000)) <= 3 * 50_000 * personal.FALSE_MEMBERS
+    for n in (1, 10**6, 3 * 10**7):
+        assert (1 - math.exp(-personal.HASHES * n / personal.filter_bits(n))) ** personal.HASHES <= personal.FALSE_MEMBERS * 1.01
+
+
+def test_contexts_of_numbers_are_learned(spark):
+    """Contexts that no list names: numbers of a sure form in them disclose others there; those of devices don't."""
+    nir = "1 68 05 00 200 780 clé 21"
+    rows = [f"Kodo vivi {nir if i % 3 else '4246348895'}. Serie nene 42463488{i % 10}5. Dose 5 mg." for i in range(12)] * 5
+    df = spark.createDataFrame([("t", str(i), x) for i, x in enumerate([*rows, "Kodo vivi 99887766.", "Serie nene 99887766.", "Vivi 12345678."])], "tbl string, row_key string, text string")
+    got = {(r.row_key, r.kind, r.found_text) for r in personal.find_personal(df, personal.learn(df)).collect() if r.kind != "NAME"}
+    assert ("60", "IDNUM", "99887766") in got and ("62", "IDNUM", "12345678") in got and not any(key == "61" for key, _, _ in got)
+    assert ("0", "IDNUM", "4246348895") in got and not any(x.startswith("42463488") and x != "4246348895" for _, _, x in got)
