@@ -1,7 +1,10 @@
 """Reading level of documents by propagation over the document-word graph.
 
 A document is linked to the words and pairs of neighbouring words it contains. Graded documents are clamped to their
-grade; a harmonic iteration gives every word the mean of its documents and every other document the mean of its words.
+grade; harmonic iterations give every word the mean of its documents and every other document the mean of its words, until
+no word changes by TOLERANCE. Every word is also tied, with weight TIE, to a fixed node with what the graded documents
+alone say of it: words are linked to so many documents that without such ties the solution comes close to one value for
+all, and with them each iteration brings it closer by a fixed factor.
 Words and pairs are hashed to a fixed number of buckets each, so the state that travels between iterations (one number for
 each bucket) has the same size at any scale and may be broadcast; documents never leave the executors.
 
@@ -24,9 +27,10 @@ from medloom.runtime import cut
 
 #: Buckets of words, and those of pairs, which come after them; there are many times more pairs than words.
 BUCKETS, PAIRS = 1 << 16, 1 << 20
-ITERATIONS = 2
+#: Share of a word's value that its tie has, and the change of any word, in grades, at which the iterations end.
+TIE, TOLERANCE = 0.5, 0.01
 #: Words of weight that the mean of all grades has in every bucket.
-PRIOR = 1.0
+PRIOR = 0.1
 #: Resolution at which scores of graded documents are counted to find the thresholds.
 GRID = 500
 LEVELS = 5
@@ -96,14 +100,16 @@ def _arrays(batch):
     return words, ends - (ends[0] if len(ends) else 0), grade, half
 
 
-def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "reading_level", iterations: int = ITERATIONS, buckets: int = BUCKETS, pair_buckets: int = PAIRS) -> DataFrame:
+def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "reading_level", tie: float = TIE, tolerance: float = TOLERANCE, buckets: int = BUCKETS, pair_buckets: int = PAIRS) -> DataFrame:
     """(key, difficulty, held_out, grade) of every document with at least one word or sign.
 
     difficulty is on the scale of the grades, shrunk toward their mean; held_out is the same from the copy that didn't
-    see this document's grade (graded documents only). Null, empty and blank texts have no row. Several grades of a
-    document are averaged; grades of unknown documents and null grades are ignored. Without any grade every difficulty
-    is null.
+    see this document's grade (graded documents only). ``tie`` lies above 0 and up to 1, where 1 leaves words with what the
+    graded documents say. Null, empty and blank texts have no row. Several grades of a document are averaged; grades of
+    unknown documents and null grades are ignored. Without any grade every difficulty is null.
     """
+    if not 0 < tie <= 1:
+        raise ValueError("tie must lie above 0 and up to 1")
     spark = docs.sparkSession
     graded = labels.groupBy(F.col(f"`{key}`").alias("key")).agg(F.avg(f"`{grade}`").alias("grade")).filter("grade is not null")
     half = F.pmod(F.xxhash64("key"), F.lit(2)).cast("int")
@@ -113,8 +119,8 @@ def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     if mean is None:
         return graph.select(F.col("key").alias(key), *[F.lit(None).cast("double").alias(c) for c in ("difficulty", "held_out", "grade")])
     sums = "bucket int, " + ", ".join(f"{k}{i} double" for k in "xw" for i in range(3))
-    state, size = None, buckets + pair_buckets
-    for _ in range(iterations):
+    state, tied, size = None, None, buckets + pair_buckets
+    while True:
         held = spark.sparkContext.broadcast(state)
 
         def gather(batches):
@@ -137,10 +143,21 @@ def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
 
         parts = graph.select("key", "words", "grade", "half").mapInArrow(gather, sums)
         totals = parts.groupBy("bucket").agg(*[F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "xw" for i in range(3)]).toPandas()  # one row for each bucket
-        state = np.full((size, 3), mean, np.float64)
+        new = np.full((size, 3), mean, np.float64)
         at = totals["bucket"].to_numpy()
         x, w = (totals[[f"{k}{i}" for i in range(3)]].to_numpy() for k in "xw")
-        state[at] = (x + PRIOR * mean) / (w + PRIOR)
+        new[at] = (x + PRIOR * mean) / (w + PRIOR)
+        if state is None:
+            state = tied = new
+            continue
+        # a document's mean over words that are tied is the mean it has with ties of its own
+        new = (1 - tie) * new + tie * tied
+        change = np.abs(new - state).max()
+        held.destroy()
+        state = new
+        # each iteration shrinks the change by 1 - tie at least
+        if change <= tolerance:
+            break
     final = spark.sparkContext.broadcast(state)
 
     def score(batches):

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from medloom.llm import reading
 
 
@@ -57,3 +60,24 @@ def test_pairs_have_buckets_of_their_own():
     distinct = len(set(zip(met, met[1:])))
     ids, _ = reading._buckets([text], reading.BUCKETS)
     assert distinct > 30_000 and (ids >= reading.BUCKETS).sum() >= 0.95 * distinct
+
+
+def test_harmonic_solution(spark):
+    """Against a linear system: documents are means of their words, words of their documents and their tie."""
+    rows, labels = corpus(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string")
+    got = {r.doc_id: r.difficulty for r in reading.reading_difficulty(docs, spark.createDataFrame(labels, "doc_id long, reading_level int"), tolerance=1e-7).collect()}
+    ids, ends = reading._buckets([t for _, t, _ in rows], reading.BUCKETS)
+    words, at = np.unique(ids, return_inverse=True)
+    has = np.zeros((len(rows), len(words)))
+    has[np.repeat(np.arange(len(rows)), np.diff(ends)), at] = 1
+    grade = np.array([dict(labels).get(i, np.nan) for i, *_ in rows], float)
+    seen, mean = ~np.isnan(grade), np.nanmean(grade)
+    tied = (has[seen].T @ grade[seen] + reading.PRIOR * mean) / (has[seen].sum(0) + reading.PRIOR)
+    means = has / has.sum(1, keepdims=True)
+    shares = has.T / (has.sum(0) + reading.PRIOR)[:, None]
+    fixed = shares[:, seen] @ grade[seen] + reading.PRIOR * mean / (has.sum(0) + reading.PRIOR)
+    state = np.linalg.solve(np.eye(len(words)) - (1 - reading.TIE) * shares[:, ~seen] @ means[~seen], (1 - reading.TIE) * fixed + reading.TIE * tied)
+    assert np.allclose([got[i] for i, *_ in rows], means @ state, atol=1e-5)
+    with pytest.raises(ValueError):
+        reading.reading_difficulty(docs, docs, tie=0.0)
