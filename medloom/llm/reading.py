@@ -18,6 +18,7 @@ import zlib
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -84,11 +85,9 @@ def _sides(half: np.ndarray) -> np.ndarray:
 
 
 def _difficulty(words: np.ndarray, ends: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Mean of its words' state for each document and copy; NaN without words."""
-    n = np.diff(ends)
-    total = np.vstack([np.zeros((1, state.shape[1])), np.cumsum(state[words], axis=0, dtype=np.float64)])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (total[ends[1:]] - total[ends[:-1]]) / n[:, None]
+    """Mean of its words' state for each document and copy; every document has words."""
+    sums = [np.add.reduceat(one[words], ends[:-1], dtype=np.float64) for one in state]
+    return np.stack(sums, axis=1) / np.diff(ends)[:, None]
 
 
 def _arrays(batch):
@@ -100,6 +99,65 @@ def _arrays(batch):
     return words, ends - (ends[0] if len(ends) else 0), grade, half
 
 
+def _start(size: int):
+    """Documents of each bucket and, for each copy, sum and number of the grades clamped there, by task."""
+
+    def run(batches):
+        n, x, w = np.zeros(size), np.zeros((size, 3)), np.zeros((size, 3))
+        for batch in batches:
+            words, ends, grades, halves = _arrays(batch)
+            n += np.bincount(words, minlength=size)
+            lengths = np.diff(ends)
+            for i, clamp in enumerate((_sides(halves) & ~np.isnan(grades)[:, None]).T):
+                seen = words[np.repeat(clamp, lengths)]
+                x[:, i] += np.bincount(seen, np.repeat(grades[clamp], lengths[clamp]), size)
+                w[:, i] += np.bincount(seen, minlength=size)
+        has = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), *[pa.array(c[has]) for c in (n, *x.T, *w.T)]], names=["bucket", "n", *[f"{k}{i}" for k in "xw" for i in range(3)]])
+
+    return run
+
+
+#: Buckets whose sums leave a task as one row.
+SUMS = 1 << 13
+
+
+def _numbers(present: np.ndarray, size: int) -> np.ndarray:
+    """The number of each bucket that occurs."""
+    index = np.full(size, -1, np.int32)
+    index[present] = np.arange(len(present), dtype=np.int32)
+    return index
+
+
+def _gather(present, held, size: int):
+    """Sums of their documents' values for the buckets that occur and each copy, by task, in blocks of SUMS buckets."""
+
+    def run(batches):
+        index, state = _numbers(present.value, size), held.value
+        n = state.shape[1]
+        x = np.zeros((n, 3))
+        for batch in batches:
+            words, ends, grades, halves = _arrays(batch)
+            if not len(words):
+                continue
+            words = index[words]
+            clamp = _sides(halves) & ~np.isnan(grades)[:, None]
+            value = np.where(clamp, grades[:, None], _difficulty(words, ends, state))
+            lengths = np.diff(ends)
+            for i in range(3):
+                x[:, i] += np.bincount(words, np.repeat(value[:, i], lengths), n)
+        x = x.astype(np.float32)
+        blocks = range(0, n, SUMS)
+        yield pa.RecordBatch.from_arrays([pa.array([at // SUMS for at in blocks], pa.int32()), pa.array([x[at : at + SUMS].tobytes() for at in blocks], pa.binary())], names=["block", "sums"])
+
+    return run
+
+
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in pdf["sums"])
+    return pd.DataFrame({"block": pdf["block"][:1], "sums": [total.astype(np.float32).tobytes()]})
+
+
 def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "reading_level", tie: float = TIE, tolerance: float = TOLERANCE, buckets: int = BUCKETS, pair_buckets: int = PAIRS) -> DataFrame:
     """(key, difficulty, held_out, grade) of every document with at least one word or sign.
 
@@ -118,57 +176,42 @@ def reading_difficulty(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     kind = graph.dtypes[0][1]
     if mean is None:
         return graph.select(F.col("key").alias(key), *[F.lit(None).cast("double").alias(c) for c in ("difficulty", "held_out", "grade")])
-    sums = "bucket int, " + ", ".join(f"{k}{i} double" for k in "xw" for i in range(3))
-    state, tied, size = None, None, buckets + pair_buckets
+    size = buckets + pair_buckets
+    rows = graph.select("key", "words", "grade", "half")
+    first = rows.mapInArrow(_start(size), "bucket int, n double, " + ", ".join(f"{k}{i} double" for k in "xw" for i in range(3)))
+    columns = ["n", *[f"{k}{i}" for k in "xw" for i in range(3)]]
+    totals = first.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("bucket")  # one row for each bucket
+    # buckets that occur are numbered; all that travels between iterations is three numbers for each
+    present = spark.sparkContext.broadcast(totals["bucket"].to_numpy(np.int32))
+    n = totals["n"].to_numpy()[:, None]
+    x, w = (totals[[f"{k}{i}" for i in range(3)]].to_numpy() for k in "xw")
+    state = tied = (x + PRIOR * mean) / (w + PRIOR)
+    change = np.inf
     while True:
-        held = spark.sparkContext.broadcast(state)
-
-        def gather(batches):
-            x, w = np.zeros((size, 3)), np.zeros((size, 3))
-            for batch in batches:
-                words, ends, grades, halves = _arrays(batch)
-                if not len(words):
-                    continue
-                clamp = _sides(halves) & ~np.isnan(grades)[:, None]
-                if held.value is None:
-                    value, weight = np.where(clamp, grades[:, None], 0.0), clamp.astype(float)
-                else:
-                    value, weight = np.where(clamp, grades[:, None], _difficulty(words, ends, held.value)), np.ones(clamp.shape)
-                some = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                for i in range(3):
-                    x[:, i] += np.bincount(words, (value[:, i] * weight[:, i])[some], size)
-                    w[:, i] += np.bincount(words, weight[some, i], size)
-            has = np.flatnonzero(w.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(has, pa.int32()), *[pa.array(part[has, i]) for part in (x, w) for i in range(3)]], names=["bucket", *[f"{k}{i}" for k in "xw" for i in range(3)]])
-
-        parts = graph.select("key", "words", "grade", "half").mapInArrow(gather, sums)
-        totals = parts.groupBy("bucket").agg(*[F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "xw" for i in range(3)]).toPandas()  # one row for each bucket
-        new = np.full((size, 3), mean, np.float64)
-        at = totals["bucket"].to_numpy()
-        x, w = (totals[[f"{k}{i}" for i in range(3)]].to_numpy() for k in "xw")
-        new[at] = (x + PRIOR * mean) / (w + PRIOR)
-        if state is None:
-            state = tied = new
-            continue
-        # a document's mean over words that are tied is the mean it has with ties of its own
-        new = (1 - tie) * new + tie * tied
-        change = np.abs(new - state).max()
+        held = spark.sparkContext.broadcast(np.ascontiguousarray(state.T, np.float32))
+        parts = rows.mapInArrow(_gather(present, held, size), "block int, sums binary").groupBy("block").applyInPandas(_add, "block int, sums binary")
+        found = parts.toPandas().sort_values("block")
+        x = np.concatenate([np.frombuffer(b, np.float32) for b in found["sums"]]).reshape(-1, 3).astype(np.float64)
         held.destroy()
+        # a document's mean over words that are tied is the mean it has with ties of its own
+        new = (1 - tie) * (x + PRIOR * mean) / (n + PRIOR) + tie * tied
+        last, change = change, np.abs(new - state).max()
         state = new
-        # each iteration shrinks the change by 1 - tie at least
-        if change <= tolerance:
+        # each iteration shrinks the change by 1 - tie at least; where it doesn't, the numbers' own precision is reached
+        if change <= tolerance or change >= last:
             break
-    final = spark.sparkContext.broadcast(state)
+    final = spark.sparkContext.broadcast(np.ascontiguousarray(state.T))
 
     def score(batches):
+        index, state = _numbers(present.value, size), final.value
         for batch in batches:
             words, ends, grades, halves = _arrays(batch)
             if batch.num_rows:
-                found = _difficulty(words, ends, final.value)
+                found = _difficulty(index[words], ends, state)
                 blind = np.where(np.isnan(grades), np.nan, np.where(halves == 0, found[:, 2], found[:, 1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(blind, mask=np.isnan(grades)), batch.column(2)], names=[key, "difficulty", "held_out", "grade"])
 
-    return graph.select("key", "words", "grade", "half").mapInArrow(score, f"`{key}` {kind}, difficulty double, held_out double, grade double")
+    return rows.mapInArrow(score, f"`{key}` {kind}, difficulty double, held_out double, grade double")
 
 
 def thresholds(scored: DataFrame, levels: int = LEVELS) -> list[float]:
