@@ -27,7 +27,12 @@ def _stays(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     groups = splits.components(_stays(spark, sf)).filter(F.col("node").startswith("PAT-"))
-    return splits.linked_pairs(cut(groups)).select(F.col("a").alias("patient_a"), F.col("b").alias("patient_b"))
+    return splits.linked_pairs(groups).select(F.col("a").alias("patient_a"), F.col("b").alias("patient_b"))
+
+
+def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each patient with the group that shares a split, named by its smallest patient, and the group's size."""
+    return splits.memberships(splits.components(_stays(spark, sf)), "PAT-").select(F.col("node").alias("patient"), "group", "n_nodes")
 
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +172,7 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p2_splits": p2_splits, "p2_shares": p2_shares,
     "p5_found": p5_found, "p5_topk": p5_topk, "p5_similar": p5_similar, "p5_recall": p5_recall,
     "p6_found": p6_found, "p6_sanitised": p6_sanitised, "p6_disclosure": p6_disclosure,
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
@@ -178,6 +183,11 @@ _COSINES = """
             WHERE len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY ui),
           c AS (SELECT x.ui AS a, y.ui AS b, list_cosine_similarity(x.vector, y.vector) AS cosine FROM v x JOIN v y ON x.ui <> y.ui),
           near AS (SELECT a, b, cosine, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS nth FROM c QUALIFY nth <= 10)"""
+_LINKED = r"""
+        WITH RECURSIVE s AS (SELECT DISTINCT p, a FROM (SELECT regexp_extract(upper(regexp_replace(patient_id, '[^\p{L}\p{Nd}]', '', 'g')), '^PAT(\d+)$', 1) AS p,
+          regexp_extract(upper(regexp_replace(admission_id, '[^\p{L}\p{Nd}]', '', 'g')), '^ADM(\d+)$', 1) AS a FROM stays) WHERE p <> '' AND a <> ''),
+          near AS (SELECT DISTINCT x.p AS a, y.p AS b FROM s x JOIN s y USING (a) WHERE x.p <> y.p),
+          far AS (SELECT a, b FROM near UNION SELECT f.a, n.b FROM far f JOIN near n ON n.a = f.b)"""
 SQL: dict[str, str] = {
     "p1_found": r"""
         SELECT tbl, item_id, CASE WHEN max(longest) > 2000 THEN 'forced' ELSE 'boundary' END AS cut FROM (
@@ -185,12 +195,9 @@ SQL: dict[str, str] = {
             SELECT 'records' AS tbl, record_id AS item_id, "text" AS txt FROM records UNION ALL
             SELECT 'medical_documents', filename, raw_text FROM medical_documents) WHERE length(txt) > 2000)
         GROUP BY tbl, item_id""",
-    "p2_found": r"""
-        WITH RECURSIVE s AS (SELECT DISTINCT p, a FROM (SELECT regexp_extract(upper(regexp_replace(patient_id, '[^\p{L}\p{Nd}]', '', 'g')), '^PAT(\d+)$', 1) AS p,
-          regexp_extract(upper(regexp_replace(admission_id, '[^\p{L}\p{Nd}]', '', 'g')), '^ADM(\d+)$', 1) AS a FROM stays) WHERE p <> '' AND a <> ''),
-          near AS (SELECT DISTINCT x.p AS a, y.p AS b FROM s x JOIN s y USING (a) WHERE x.p <> y.p),
-          far AS (SELECT a, b FROM near UNION SELECT f.a, n.b FROM far f JOIN near n ON n.a = f.b)
-        SELECT DISTINCT 'PAT-' || a AS patient_a, 'PAT-' || b AS patient_b FROM far WHERE a < b""",
+    "p2_found": rf"""{_LINKED} SELECT DISTINCT 'PAT-' || a AS patient_a, 'PAT-' || b AS patient_b FROM far WHERE a < b""",
+    "p2_groups": rf"""{_LINKED}, g AS (SELECT p, least(p, coalesce(min(b), p)) AS g FROM (SELECT DISTINCT p FROM s) LEFT JOIN far ON a = p GROUP BY p)
+        SELECT 'PAT-' || p AS patient, 'PAT-' || g AS "group", count(*) OVER (PARTITION BY g) AS n_nodes FROM g""",
     "p5_found": f"""{_COSINES}
         SELECT x.a AS ui_a, x.b AS ui_b FROM near x JOIN near y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.cosine >= 0.95""",
     "p5_topk": f"""{_COSINES}

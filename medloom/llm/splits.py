@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.runtime import cut
+from medloom.runtime import cut, recut
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: Members of a component that one block of its pairs has.
 BLOCK = 500
+#: Rows from which a key is hot, and hot keys that there may be at most: where rows are many, the first number rises instead.
+HOT_ROWS, HOT_KEYS = 1_000_000, 10_000
 
 
 def identifier(raw: Column, prefix: str) -> Column:
@@ -25,6 +27,20 @@ def identifier(raw: Column, prefix: str) -> Column:
     return F.when(digits != "", F.concat(F.lit(f"{prefix}-"), F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits)))
 
 
+def beside(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``side``, which has one row (key, n, ...) for each key with the number n of its rows.
+
+    The rows of hot keys stay where they are and meet the at most HOT_KEYS rows of ``side`` that are theirs; so a key with a
+    third of all rows is in no single task. ``total`` is the number of rows: without so many no key can be hot.
+    """
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    if total <= least:
+        return rows.join(side, key)
+    side = cut(side)
+    hot = F.broadcast(side.filter(F.col("n") > least))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(side.filter(F.col("n") <= least), key))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the links; the component is its smallest node.
 
@@ -33,15 +49,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = links.select(F.col(a).alias("node"), F.col(b).alias("member")).filter("node is not null and member is not null")
     both = links.unionByName(links.select(F.col("member").alias("node"), F.col("node").alias("member")))
     clusters = cut(both.unionByName(both.select("node", F.col("node").alias("member"))).distinct())
-    seen = None
+    count = F.count(F.lit(1)).alias("n")
+    seen = clusters.agg(count, F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
     while True:
-        least = clusters.groupBy("node").agg(F.min("member").alias("least"))
-        sent = clusters.join(least, "node")
+        sent = beside(clusters, clusters.groupBy("node").agg(F.min("member").alias("least"), count), "node", seen["n"])
         told = sent.select(F.explode(F.array(F.struct(F.col("least").alias("node"), "member"), F.struct(F.col("member").alias("node"), F.col("least").alias("member")))).alias("m"))
-        clusters = cut(told.select("m.node", "m.member").distinct())
-        state = clusters.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
+        clusters = recut(clusters, told.select("m.node", "m.member").distinct())
+        state = clusters.agg(count, F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
         if state == seen:
-            return clusters.groupBy("node").agg(F.min("member").alias("component"))
+            return recut(clusters, clusters.groupBy("node").agg(F.min("member").alias("component")))
         seen = state
 
 
@@ -66,14 +82,23 @@ def assign(rows: DataFrame, entity: str, fallback: str, groups: DataFrame, split
     return known.unionByName(alone).withColumn("split", rendezvous(F.col("component"), splits, seed)).drop(fallback)
 
 
+def memberships(groups: DataFrame, prefix: str) -> DataFrame:
+    """(node, group, n_nodes) of the nodes that begin with ``prefix``: the group is its smallest such node, n_nodes how many
+    it has. One row a node however large its component is: the form for data at scale, where linked_pairs is quadratic."""
+    own = groups.filter(F.col("node").startswith(prefix))
+    sizes = own.groupBy("component").agg(F.min("node").alias("group"), F.count(F.lit(1)).alias("n"))
+    return beside(own, sizes, "component", own.count()).select("node", "group", F.col("n").alias("n_nodes"))
+
+
 def linked_pairs(groups: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: every pair of nodes of one component.
 
     A component is cut into blocks by hash and its pairs are made block against block, so that the largest component is
     many small joins.
     """
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    placed = groups.join(sizes.filter("n >= 1"), "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    placed = beside(groups, sizes, "component", groups.count()).withColumn("n", F.ceil(F.col("n") / block).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     left = placed.select("component", F.col("own").alias("i"), other.alias("j"), F.col("node").alias("a"))
     right = placed.select("component", other.alias("i"), F.col("own").alias("j"), F.col("node").alias("b"))

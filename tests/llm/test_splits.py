@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -55,3 +56,32 @@ def test_pairs_in_blocks(spark):
     groups = spark.createDataFrame([(f"n{i:02d}", "c") for i in range(23)] + [("x", "d")], "node string, component string")
     got = sorted((r.a, r.b) for r in splits.linked_pairs(groups, block=4).collect())
     assert got == list(itertools.combinations([f"n{i:02d}" for i in range(23)], 2))
+
+
+def test_hot_keys_stay_spread(spark, monkeypatch):
+    """A hub with most links and a component with most nodes go the way of hot keys; nothing changes but the plan."""
+    monkeypatch.setattr(splits, "HOT_ROWS", 20)
+    monkeypatch.setattr(splits, "HOT_KEYS", 1000)
+    links = [("hub", f"h{i:02d}") for i in range(60)] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)] + [("x", "y")]
+    df = spark.createDataFrame(links, "a string, b string")
+    groups = splits.components(df)
+    assert {r.node: r.component for r in groups.collect()} == brute(links)
+    pairs = {(r.a, r.b) for r in splits.linked_pairs(groups, block=7).collect()}
+    members = {}
+    for node, root in brute(links).items():
+        members.setdefault(root, []).append(node)
+    assert pairs == {p for nodes in members.values() for p in itertools.combinations(sorted(nodes), 2)}
+    got = {(r.node, r.group, r.n_nodes) for r in splits.memberships(groups, "h").collect()}
+    assert got == {(n, "h00", 61) for n in ["hub", *[f"h{i:02d}" for i in range(60)]]}
+    assert splits.memberships(groups.limit(0), "h").count() == 0
+
+
+def test_superseded_tables_are_deleted(spark):
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    links = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}") for i in range(30)], "a string, b string")
+    splits.components(links)
+    if folder.isDefined():
+        path = folder.get().removeprefix("file:")
+        before = set(os.listdir(path))
+        splits.components(links)
+        assert len(set(os.listdir(path)) - before) == 1
