@@ -2,12 +2,14 @@
 
 Components are found by hash-to-min: every node holds a cluster (at first itself and its neighbours), sends the cluster
 to the cluster's minimum and the minimum to every member, until nothing changes. A cluster is a set of rows (node,
-member), never a collected list, so a node with a third of all links is spread over tasks. Weighted rendezvous hashing
+member), never a collected list, so a node with a third of all links is spread over tasks. Before that each task joins
+the links that it reads, so that what is exchanged are nodes and the smallest they are linked to there, not links. Weighted rendezvous hashing
 then gives each component the split with the highest score, independent of all other components.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 BLOCK = 500
 #: Rows from which a key is hot, and hot keys that there may be at most: where rows are many, the first number rises instead.
 HOT_ROWS, HOT_KEYS = 1_000_000, 10_000
+#: Nodes whose links a task joins at once.
+HELD = 500_000
 
 
 def identifier(raw: Column, prefix: str) -> Column:
@@ -41,14 +45,44 @@ def beside(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(side.filter(F.col("n") <= least), key))
 
 
+def _stars(batches):
+    """(node, member) of rows (node, member): each node once with the smallest that the task's links join it to."""
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        path = []
+        while (up := above.setdefault(x, x)) != x:
+            path.append(x)
+            x = up
+        for one in path:
+            above[one] = x
+        return x
+
+    def rows():
+        nodes = list(above)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array([top(x) for x in nodes], pa.string())], names=["node", "member"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+        if len(above) >= HELD:
+            yield rows()
+            above.clear()
+    yield rows()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the links; the component is its smallest node.
 
     Links with a null end join nothing; repeated links and links of a node to itself do no harm; no links, no rows.
     """
     links = links.select(F.col(a).alias("node"), F.col(b).alias("member")).filter("node is not null and member is not null")
+    kind = links.dtypes[0][1]
+    links = links.select(*[F.col(c).cast("string") for c in ("node", "member")]).mapInArrow(_stars, "node string, member string").select(*[F.col(c).cast(kind) for c in ("node", "member")])
     both = links.unionByName(links.select(F.col("member").alias("node"), F.col("node").alias("member")))
-    clusters = cut(both.unionByName(both.select("node", F.col("node").alias("member"))).distinct())
+    clusters = cut(both.distinct())  # every node is linked to itself or what is smallest in its task, which is to itself
     count = F.count(F.lit(1)).alias("n")
     seen = clusters.agg(count, F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
     while True:
