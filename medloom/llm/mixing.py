@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def fit_budget(budget: int, counts: dict[int, int]) -> dict[int, int]:
 
     First a proportional share of every length is taken, rounded down, then single documents, the most underrepresented
     lengths first, until at most twice the longest length is open; where less is open, short documents are given back. The
-    rest is a bounded-knapsack subset-sum on bit sets over all documents not taken. The total is exact unless no subset
+    rest is a bounded-knapsack subset-sum over all documents not taken. The total is exact unless no subset
     of those fills the rest.
     """
     total = sum(length * n for length, n in counts.items())
@@ -64,7 +66,7 @@ def fit_budget(budget: int, counts: dict[int, int]) -> dict[int, int]:
         take[length] -= back
         rest += back * length
     free = {length: min(counts[length] - take[length], rest // length) for length in counts if 0 < length <= rest}
-    # binary splitting of the bounds, one bit set of reachable sums for each item
+    # binary splitting of the bounds; the driver holds five bytes for each sum up to the rest, whatever the number of items
     items = []
     for length, n in sorted(free.items()):
         part = 1
@@ -73,17 +75,22 @@ def fit_budget(budget: int, counts: dict[int, int]) -> dict[int, int]:
             items.append((length, part))
             n -= part
             part *= 2
-    mask, reach, history = (1 << (rest + 1)) - 1, 1, []
-    for length, part in items:
-        history.append(reach)
-        reach |= (reach << (length * part)) & mask
-        if reach >> rest & 1:
+    # for each sum the item that first reached it; what that item leaves was reached by items before it
+    reach, first = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int32)
+    reach[0] = True
+    for i, (length, part) in enumerate(items):
+        size = length * part
+        if size <= rest:
+            new = reach[: rest + 1 - size] & ~reach[size:]
+            first[size:][new] = i
+            reach[size:] |= new
+        if reach[rest]:
             break
-    at = reach.bit_length() - 1
-    for (length, part), before in zip(reversed(items[: len(history)]), reversed(history)):
-        if not before >> at & 1:
-            take[length] += part
-            at -= length * part
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        length, part = items[first[at]]
+        take[length] += part
+        at -= length * part
     return {length: n for length, n in take.items() if n}
 
 
@@ -119,14 +126,15 @@ def mix(docs: DataFrame, weights: DataFrame, key: str = "doc_id", total: int | N
     spark = docs.sparkSession
     rows = weights.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).filter("source is not null").collect()  # a row for each source
     wanted = {r["source"]: (r["share"] or 0.0, r["cap"] or 0) for r in rows}
-    docs = docs.select(key, "source", "n_tokens").filter(F.col("n_tokens") > 0).filter(F.col("source").isin(list(wanted)))
+    docs = docs.select(key, "source", "n_tokens").filter(F.col("n_tokens") > 0)
+    docs = docs.join(weights.filter("source is not null").select("source").distinct(), "source", "left_semi")
     slotted = cut(docs.withColumn("slot", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(SLOTS)).cast("int")))
     lengths: dict[str, dict[int, int]] = {}
     for r in slotted.groupBy("source", "n_tokens").count().collect():  # bounded by sources times distinct lengths
         lengths.setdefault(r["source"], {})[r["n_tokens"]] = r["count"]
     plans = plan_mixture(lengths, wanted, total)
     need = [(p.source, int(length), p.whole, int(p.extra.get(length, 0))) for p in plans for length in lengths[p.source]]
-    takes = spark.createDataFrame(need, "source string, n_tokens bigint, whole int, extra bigint")
+    takes = spark.createDataFrame(pd.DataFrame(need, columns=["source", "n_tokens", "whole", "extra"]), "source string, n_tokens bigint, whole int, extra bigint")
     by_slot = Window.partitionBy("source", "n_tokens").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # at most SLOTS rows for each source and length
     slots = slotted.groupBy("source", "n_tokens", "slot").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(by_slot))
