@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 OK, OPEN_QUOTE, STRAY_QUOTE, BAD_LIST = "ok", "open_quote", "stray_quote", "bad_list"
 
-_QUOTED = re.compile(r'"((?:[^"]|"")*)"')
+_RUNS = re.compile(r'"+')
 _BLANKS = re.compile(r"[  ]*")
 _DECODER = json.JSONDecoder()
 
@@ -35,6 +36,31 @@ _DECODER = json.JSONDecoder()
 KINDS = {"terms": ("|;\t\r\n", False), "tags": ("|;\t\r\n#", False), "tree_numbers": ("|;\t\r\n  ", True)}
 
 
+class Quotes:
+    """Where the quotes of a cell close, from one pass over it, so that a long cell of open quotes isn't read again for each."""
+
+    def __init__(self, cell: str):
+        runs = [m.span() for m in _RUNS.finditer(cell)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+        # the first run from i on with an odd number of quotes: pairs of quotes are text, what is left over closes
+        self.odd = [len(runs)] * (len(runs) + 1)
+        for i in range(len(runs) - 1, -1, -1):
+            self.odd[i] = i if (runs[i][1] - runs[i][0]) % 2 else self.odd[i + 1]
+
+    def close(self, at: int) -> int | None:
+        """The position after the quote that closes the one at ``at``; None if none does. Where only pairs follow, the last
+        pair's first quote closes."""
+        i = bisect_right(self.starts, at) - 1
+        left = self.ends[i] - at - 1
+        if left % 2:
+            return self.ends[i]
+        if (j := self.odd[i + 1]) < len(self.ends):
+            return self.ends[j]
+        if i + 1 < len(self.ends):
+            return self.ends[-1] - 1
+        return self.ends[i] - 1 if left else None
+
+
 class _Grammar:
     """The grammar for one set of dividing characters."""
 
@@ -46,7 +72,8 @@ class _Grammar:
 
     def values(self, cell: str) -> list[tuple[str, str]]:
         """The non-empty values with their flags, in order."""
-        dividers = self.any if self.comma or not self._has_strong(cell) else self.strong
+        quotes = Quotes(cell)
+        dividers = self.any if self.comma or not self._has_strong(cell, quotes) else self.strong
         out: list[tuple[str, str]] = []
         at = 0
         while at < len(cell):
@@ -56,7 +83,7 @@ class _Grammar:
             at = _BLANKS.match(cell, at).end()
             if at >= len(cell) or cell[at] in dividers:
                 continue
-            found = self._bracketed(cell, at, dividers) or self._quoted(cell, at, dividers) or self._bare(cell, at, dividers)
+            found = self._bracketed(cell, at, dividers) or self._quoted(cell, at, dividers, quotes) or self._bare(cell, at, dividers, quotes)
             at, items, flag = found
             for item in items:
                 item = item.strip()
@@ -66,7 +93,7 @@ class _Grammar:
                     out.append((item, flag))
         return out
 
-    def _has_strong(self, cell: str) -> bool:
+    def _has_strong(self, cell: str, quotes: Quotes) -> bool:
         """Whether a divider other than the comma stands outside quotes and lists."""
         at = 0
         while at < len(cell):
@@ -78,7 +105,7 @@ class _Grammar:
             if cell[at] == ",":
                 at += 1
                 continue
-            found = self._bracketed(cell, at, self.any) or self._quoted(cell, at, self.any) or self._bare(cell, at, self.any)
+            found = self._bracketed(cell, at, self.any) or self._quoted(cell, at, self.any, quotes) or self._bare(cell, at, self.any, quotes)
             at = found[0]
         return False
 
@@ -92,27 +119,27 @@ class _Grammar:
             return None
         try:
             values, end = _DECODER.raw_decode(cell, at)
-        except ValueError:
+        except (ValueError, RecursionError):  # brackets too deep are no list
             return None
         if (after := self._closed(cell, end, dividers)) is None:
             return None
         return after, [v if isinstance(v, str) else json.dumps(v) for v in values if v is not None], OK
 
-    def _quoted(self, cell: str, at: int, dividers: set[str]):
-        if cell[at] != '"' or not (match := _QUOTED.match(cell, at)):
+    def _quoted(self, cell: str, at: int, dividers: set[str], quotes: Quotes):
+        if cell[at] != '"' or not (end := quotes.close(at)):
             return None
-        if (after := self._closed(cell, match.end(), dividers)) is None:
+        if (after := self._closed(cell, end, dividers)) is None:
             return None
-        return after, [match[1].replace('""', '"')], OK
+        return after, [cell[at + 1 : end - 1].replace('""', '"')], OK
 
-    def _bare(self, cell: str, at: int, dividers: set[str]):
+    def _bare(self, cell: str, at: int, dividers: set[str], quotes: Quotes):
         start, flag = at, BAD_LIST if cell[at] == "[" else OK
         while at < len(cell) and cell[at] not in dividers:
             if cell[at] == '"':
-                match = _QUOTED.match(cell, at) if at == start or cell[at - 1] in " ,([" else None
-                if match and (match.end() == len(cell) or cell[match.end()] in self.any or cell[match.end()] in " )]"):
+                end = quotes.close(at) if at == start or cell[at - 1] in " ,([" else None
+                if end and (end == len(cell) or cell[end] in self.any or cell[end] in " )]"):
                     flag = flag if flag != OK else STRAY_QUOTE
-                    at = match.end()
+                    at = end
                     continue
                 flag = flag if flag != OK else OPEN_QUOTE
             at += 1

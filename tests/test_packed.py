@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from medloom.operators import packed
 from medloom.operators.packed import BAD_LIST, OPEN_QUOTE, explode_packed, parse_cell
 
 
@@ -54,3 +58,21 @@ def test_rows_keep_repeats_nulls_and_foreign_columns(spark):
     got = explode_packed(df, "n", {"cell": "terms"}, "t").orderBy("row_no", "pos").collect()
     assert [(r.row_no, r.pos, r["item"]) for r in got] == [(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (1, 1, "b")]
     assert explode_packed(df.limit(0), "n", {"cell": "terms"}, "t").count() == 0
+
+
+def test_quotes_close_as_an_expression_says():
+    rng = random.Random(8)
+    quoted = re.compile(r'"((?:[^"]|"")*)"')
+    for _ in range(3000):
+        cell = "".join(rng.choice('"" ab,') for _ in range(rng.randrange(1, 14)))
+        quotes = packed.Quotes(cell)
+        for at, c in enumerate(cell):
+            if c == '"':
+                m = quoted.match(cell, at)
+                assert quotes.close(at) == (m.end() if m else None), (cell, at)
+
+
+def test_long_malformed_cells():
+    """Hundreds of thousands of open quotes and brackets are read in a moment and leave the text as written."""
+    for cell in ('a "b ' * 60_000, "[" * 100_000, '"a"b ' * 60_000, '"' * 100_001):
+        assert "".join(i for _, i, _ in packed.parse_cell(cell)).replace(" ", "")
