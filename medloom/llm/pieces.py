@@ -1,9 +1,10 @@
 """Cutting oversized texts at natural boundaries.
 
-Every position between two characters has a boundary strength (paragraph, line, sentence, clause, white space, none). A
+Every position between two characters has a boundary strength (paragraph, line, sentence, clause, white space, sentence mark
+without a blank, none). A
 sparse table over the strengths answers "strongest cut in this window, rightmost of equals" in constant time; the next
 piece steps back by the overlap. A cut falls inside a run of visible characters only where the run itself is longer than
-the limit.
+the limit, and then not between a letter and its accents where that can be avoided.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
-#: Strengths of a cut after the matched text, weakest first; a cut just before white space has the weakest.
-WHITE, CLAUSE, SENTENCE, LINE, PARAGRAPH = 1, 2, 3, 4, 5
+#: Strengths of a cut, weakest first: before a sign that belongs to the one before it, inside a run, after a mark that ends a
+#: sentence without a blank, and at white space by what it divides. Cuts below WHITE are forced.
+JOINED, INSIDE, MARK, WHITE, CLAUSE, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3, 4, 5, 6
+_JOINED = regex.compile(r"\p{M}|\u200d|(?<=\u200d).|[\U0001f3fb-\U0001f3ff]", regex.S)
+_MARKS = regex.compile(r"[。！？｡]+[」』”’）]*(?=\S)")
 _WHITE = re.compile(r"[ \t\r\n]+")
 #: Characters a sparse table covers at once, so that its size doesn't grow with the text.
 SPAN = 1 << 18
@@ -25,7 +30,10 @@ SPAN = 1 << 18
 
 def strengths(text: str) -> np.ndarray:
     """Strength of the cut before each position 0..len(text)."""
-    out = np.zeros(len(text) + 1, np.int8)
+    out = np.full(len(text) + 1, INSIDE, np.int8)
+    if not text.isascii():
+        out[[m.end() for m in _MARKS.finditer(text)]] = MARK
+        out[[m.start() for m in _JOINED.finditer(text)]] = JOINED
     for match in _WHITE.finditer(text):
         start, end = match.span()
         out[start:end] = WHITE
@@ -57,9 +65,9 @@ class StrongestCut:
             width *= 2
 
     def query(self, low: int, high: int) -> tuple[int, int]:
-        """(strength, position) of the strongest cut in low..high, both included; (0, high) if there is none."""
+        """(strength, position) of the strongest cut in low..high, both included, the rightmost of equals."""
         if low > high:
-            return 0, high
+            return INSIDE, high
         if self.base < 0 or low < self.base or low > self.base + SPAN:
             self._cover(low)
         a, b = low - self.base, high - self.base
@@ -84,15 +92,16 @@ def cut_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tupl
     start = last = 0
     while n - start > limit:
         high = start + limit
-        strength, cut = table.query(max(last + 1, start + limit // 2), high)
-        if not strength:
+        late = max(last + 1, start + limit // 2)
+        strength, cut = table.query(late, high)
+        if strength < WHITE:
             strength, cut = table.query(last + 1, high)
-        if not strength and start < last:
+        if strength < WHITE and start < last:
             start = last
             continue
-        if not strength:
-            cut = high
-        out.append((start, cut, last - start, not strength))
+        if strength < WHITE:
+            strength, cut = table.query(late, high)
+        out.append((start, cut, last - start, strength < WHITE))
         last = cut
         start = cut - overlap if cut - overlap > out[-1][0] else cut
     out.append((start, n, last - start, False))

@@ -63,3 +63,14 @@ def test_tables(spark):
     found = {r.item_id: r.cut for r in pieces.oversized_items(df, "k", "t", "x").collect()}
     assert found == {"b": "boundary", "c": "forced", None: "boundary"}
     assert pieces.split_oversized(df.limit(0), "k", "t").count() == 0
+
+
+def test_forced_cuts_at_marks_and_between_signs():
+    text = "漢字が続く。" * 20
+    assert all(text[:end].endswith("。") and forced for _, end, _, forced in check(text, 30, 0)[:-1])
+    # a letter and its accents, and a sequence of joined signs, stay together
+    accents = "e\u0301\u0302" * 40
+    assert all(end % 3 == 0 for _, end, _, _ in check(accents, 20, 0))
+    family = "\U0001f468\u200d\U0001f469\u200d\U0001f467" * 12
+    assert all(end % 5 == 0 for _, end, _, _ in check(family, 17, 0))
+    check("\u0301" * 100, 20, 3)

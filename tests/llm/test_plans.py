@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from medloom.llm import __main__ as cli
 from medloom.llm import plans
 from medloom.runtime import default_data
 
@@ -45,3 +46,9 @@ def test_components_are_counted_exactly(spark):
         components.add(r.component)
     got = {(r.tbl, r.split): (r.n_rows, r.n_components) for r in plans.p2_shares(spark, DATA).collect()}
     assert got == {k: (len(rows), len(components)) for k, (rows, components) in wanted.items()}
+
+
+def test_command_line(spark, capsys, tmp_path):
+    assert cli.main([]) == 0 and "p7_ids" in capsys.readouterr().out
+    assert cli.main(["--master", "local[4]", "p1_found", DATA, "--out", f"{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/out").columns == ["tbl", "item_id", "cut"]
