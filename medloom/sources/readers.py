@@ -24,6 +24,12 @@ def require(path: str, folder: bool = False) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
 def _file_name() -> Column:
     # names come URL-encoded, with a plain plus sign left alone
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))

@@ -1,10 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from medloom import __main__ as cli
 from medloom import schemas
 from medloom.operators import ml
 from medloom.plans import apps
-from medloom.sources import readers
+from medloom.sources import readers, writers
 from tests.test_sources import put
 
 
@@ -61,3 +62,23 @@ def test_expand(spark):
 
 def test_command_line(capsys):
     assert cli.main(["list"]) == 0 and "candidate_terms" in capsys.readouterr().out
+
+
+def test_commands(spark, capsys, tmp_path):
+    put(f"{tmp_path}/x/desc2025.xml", "<S><DescriptorRecord><DescriptorUI>D1</DescriptorUI><DescriptorName><String>Hypertension</String></DescriptorName><TreeNumberList><TreeNumber>C14.9</TreeNumber></TreeNumberList></DescriptorRecord></S>")
+    put(f"{tmp_path}/t/doc.txt", "High pressure, hypertension artérielle (HTA) here")
+    at = lambda *names: [f"{tmp_path}/{n}" for n in names]
+    run = lambda *args: cli.main(["--master", "local[4]", *args])
+    assert run("parse", *at("x", "v")) == 0 and run("index", *at("v", "i")) == 0 and run("embed", *at("v", "e")) == 0
+    assert spark.read.parquet(f"{tmp_path}/e").first().entry_id == "D1"
+    for command in (["search", at("i")[0], "hypertension"], ["search", at("v")[0], "hypertension"], ["lookup", at("v")[0], "D1"], ["browse", at("v")[0], "c14"]):
+        assert run(*command) == 0 and "D1" in capsys.readouterr().out
+    assert run("expand", *at("t", "v", "rows")) == 0
+    rows = readers.candidates(spark, f"{tmp_path}/rows").withColumn("human_validation", F.lit("accepted"))
+    writers.candidates_csv(rows, f"{tmp_path}/done")
+    assert run("extend", *at("done", "out")) == 0
+    assert f'"n_accepted":{rows.count()}' in open(f"{tmp_path}/out/counts.json").read()
+    spark.createDataFrame([("fever cough", "J10"), ("broken bone", "S42")] * 6, "text string, label string").write.parquet(f"{tmp_path}/table")
+    assert run("train", *at("table", "model"), "--kind", "bayes") == 0 and run("predict", *at("model", "table", "p"), "--top", "1") == 0
+    assert {r.predictions[0].label for r in spark.read.json(f"{tmp_path}/p").filter("text like 'fever%'").collect()} == {"J10"}
+    assert run("train", *at("table", "m2"), "--kind", "none") == 1 and "unknown classifier" in capsys.readouterr().err
