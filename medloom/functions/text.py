@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 # Character classes and masks that results depend on.
 SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 ZERO_WIDTH = r"[\x{200b}-\x{200d}\x{feff}]"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -30,7 +31,7 @@ PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end (Spark's trim knows blanks only)."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def collapse_spaces(c: Column) -> Column:

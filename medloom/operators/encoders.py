@@ -105,6 +105,32 @@ def encode(text: Column, backend: str = "hashing", normalise: bool = True, batch
     return run(T.collapse_spaces(text))
 
 
+def model_tokens(text: Column, path: str) -> Column:
+    """Tokens of a model's tokenizer (a tokenizer.json that all machines read), without special tokens; none for null and
+    blank texts. The tokenizer loads once a task."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        for texts in batches:
+            found = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            yield pd.Series([e.tokens for e in found], dtype=object)
+
+    return run(text)
+
+
+def tokenize(text: Column, method: str = "simple", path: str | None = None) -> Column:
+    """Tokens by a named method: 'simple' at white space, 'words' runs of word characters, 'model' those of a tokenizer."""
+    if method == "model" and path:
+        return model_tokens(text, path)
+    made = {"simple": T.tokens, "words": T.words}
+    if method not in made:
+        raise ValueError(f"unknown method {method}; known are simple, words and, with a path, model")
+    return made[method](T.text_or_empty(text))
+
+
 def subwords(word: Column, shortest: int = 3, longest: int = 6) -> Column:
     """The word between angle brackets, and every stretch of ``shortest`` to ``longest`` characters of that."""
     whole = F.concat(F.lit("<"), word, F.lit(">"))

@@ -320,6 +320,11 @@ def test_encoders_of_words_and_models(spark, tmp_path):
 
     run = encoders.onnx_backend(str(tmp_path), open_session=lambda folder: Session())()
     assert run(["a b", "b"]).tolist() == [[1.5, 2.5], [2.0, 4.0]]
+    texts = spark.createDataFrame([("a b zz",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(encoders.tokenize(F.col("t"), "model", f"{tmp_path}/tokenizer.json")).collect()] == [["a", "b", "[UNK]"], [], []]
+    assert [r[0] for r in texts.select(encoders.tokenize(F.col("t"))).collect()] == [["a", "b", "zz"], [], []]
+    with pytest.raises(ValueError):
+        encoders.tokenize(F.col("t"), "model")
     table = spark.createDataFrame([("<ab>", [1.0]), ("<ab", [3.0]), ("bcd", [5.0])], "word string, vector array<double>")
     docs = spark.createDataFrame([(1, "Ab abcd"), (2, "zz"), (3, None)], "id int, text string")
     got = {r.id: r.vector[0] for r in encoders.mean_of_subwords(docs, "id", "text", table, 1).collect()}
