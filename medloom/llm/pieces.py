@@ -23,6 +23,8 @@ LIMIT, OVERLAP = 2000, 200
 JOINED, INSIDE, MARK, WHITE, CLAUSE, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3, 4, 5, 6
 _JOINED = regex.compile(r"\p{M}|\u200d|(?<=\u200d).|[\U0001f3fb-\U0001f3ff]", regex.S)
 _MARKS = regex.compile(r"[。！？｡]+[」』”’）]*(?=\S)")
+#: What a text with any of those has: it lies beyond the letters, punctuation and symbols of European texts.
+_RARE = re.compile("[\u0300-\u1fff\u200d\u20d0-\u20ff\u2c00-\U0010ffff]")
 _WHITE = re.compile(r"[ \t\r\n]+")
 #: Characters a sparse table covers at once, so that its size doesn't grow with the text.
 SPAN = 1 << 18
@@ -31,7 +33,7 @@ SPAN = 1 << 18
 def strengths(text: str) -> np.ndarray:
     """Strength of the cut before each position 0..len(text)."""
     out = np.full(len(text) + 1, INSIDE, np.int8)
-    if not text.isascii():
+    if _RARE.search(text):
         out[[m.end() for m in _MARKS.finditer(text)]] = MARK
         out[[m.start() for m in _JOINED.finditer(text)]] = JOINED
     for match in _WHITE.finditer(text):
