@@ -59,10 +59,15 @@ _NODES = r"""i0 AS (SELECT upper(regexp_replace(code, '[^\p{L}\p{Nd}]', '', 'g')
     lost AS (SELECT * FROM nodes ANTI JOIN down USING (hierarchy, node)),
     climb AS (SELECT hierarchy, node AS start, parent AS at FROM lost UNION SELECT c.hierarchy, c.start, l.parent FROM climb c JOIN lost l ON l.hierarchy = c.hierarchy AND l.node = c.at)"""
 
+_UP = """up AS (SELECT n.hierarchy, n.node, n.parent AS ancestor, 1 AS distance FROM nodes n JOIN down USING (hierarchy, node) WHERE n.parent IS NOT NULL UNION ALL
+    SELECT u.hierarchy, u.node, n.parent, u.distance + 1 FROM up u JOIN nodes n ON n.hierarchy = u.hierarchy AND n.node = u.ancestor WHERE n.parent IS NOT NULL)"""
+_KIND = "CASE WHEN EXISTS (SELECT 1 FROM climb c WHERE c.hierarchy = lost.hierarchy AND c.start = lost.node AND c.at = lost.node) THEN 'CYCLE' ELSE 'BELOW_CYCLE' END"
 SQL: dict[str, str] = {
     "p4_found": f"""WITH RECURSIVE {_NODES} SELECT hierarchy, node, root_node, node_depth::INTEGER AS node_depth, node_path FROM down UNION ALL
-        SELECT hierarchy, node, CASE WHEN EXISTS (SELECT 1 FROM climb c WHERE c.hierarchy = lost.hierarchy AND c.start = lost.node AND c.at = lost.node) THEN 'CYCLE' ELSE 'BELOW_CYCLE' END, -1, '' FROM lost""",
-    "p4_descendants": f"""WITH RECURSIVE {_NODES}, up AS (SELECT n.hierarchy, n.node, n.parent AS ancestor, 1 AS distance FROM nodes n JOIN down USING (hierarchy, node) WHERE n.parent IS NOT NULL UNION ALL
-        SELECT u.hierarchy, u.node, n.parent, u.distance + 1 FROM up u JOIN nodes n ON n.hierarchy = u.hierarchy AND n.node = u.ancestor WHERE n.parent IS NOT NULL)
-        SELECT hierarchy, ancestor, node, distance::INTEGER AS distance FROM up""",
+        SELECT hierarchy, node, {_KIND}, -1, '' FROM lost""",
+    "p4_intervals": f"""WITH RECURSIVE {_NODES}, {_UP}, below AS (SELECT hierarchy, ancestor AS node, count(*) AS n FROM up GROUP BY 1, 2),
+        met AS (SELECT *, row_number() OVER (ORDER BY hierarchy, string_split(node_path, ' > ')) - 1 AS r FROM down)
+        SELECT hierarchy, node, root_node, node_depth::INTEGER AS node_depth, (2 * r - node_depth)::BIGINT AS entry, (2 * r - node_depth + 2 * coalesce(n, 0) + 1)::BIGINT AS exit, coalesce(n, 0)::BIGINT AS n_descendants
+        FROM met LEFT JOIN below USING (hierarchy, node) UNION ALL SELECT hierarchy, node, {_KIND}, -1, NULL, NULL, NULL FROM lost""",
+    "p4_descendants": f"""WITH RECURSIVE {_NODES}, {_UP} SELECT hierarchy, ancestor, node, distance::INTEGER AS distance FROM up""",
 }
