@@ -20,6 +20,12 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return records.unionByName(pieces.split_oversized(table(spark, sf, "medical_documents"), "filename", "raw_text").withColumn("tbl", F.lit("medical_documents")))
 
 
+def p1_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces of each item add up to without their overlaps, and whether all are within the limit."""
+    rows = p1_pieces(spark, sf).groupBy("tbl", "item_id")
+    return rows.agg(F.sum(F.col("n_chars") - F.col("n_overlap")).alias("n_chars"), (F.max("n_chars") <= pieces.LIMIT).alias("within"), F.sum((F.col("piece_no") == 0).cast("int")).alias("n_rows"))
+
+
 def _stays(spark: SparkSession, sf: str) -> DataFrame:
     stays = table(spark, sf, "stays")
     return stays.select(splits.identifier(F.col("patient_id"), "PAT").alias("a"), splits.identifier(F.col("admission_id"), "ADM").alias("b")).distinct()
@@ -52,6 +58,12 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return _assigned(spark, sf).select("tbl", "row_key", "component", "split")
 
 
+def p2_together(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of both tables, and how many components lie in more than one split."""
+    groups = _assigned(spark, sf).groupBy("component", "split").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("splits"))
+    return groups.agg(F.sum("n").alias("n_rows"), F.sum((F.col("splits") > 1).cast("int")).alias("n_divided"))
+
+
 def p2_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and components of each split, with the share that was asked for."""
     by_component = _assigned(spark, sf).groupBy("tbl", "split", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -172,7 +184,7 @@ def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p2_splits": p2_splits, "p2_shares": p2_shares,
+    "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_cover": p1_cover, "p2_found": p2_found, "p2_groups": p2_groups, "p2_splits": p2_splits, "p2_together": p2_together, "p2_shares": p2_shares,
     "p5_found": p5_found, "p5_topk": p5_topk, "p5_similar": p5_similar, "p5_recall": p5_recall,
     "p6_found": p6_found, "p6_sanitised": p6_sanitised, "p6_disclosure": p6_disclosure,
     "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
@@ -195,6 +207,10 @@ SQL: dict[str, str] = {
             SELECT 'records' AS tbl, record_id AS item_id, "text" AS txt FROM records UNION ALL
             SELECT 'medical_documents', filename, raw_text FROM medical_documents) WHERE length(txt) > 2000)
         GROUP BY tbl, item_id""",
+    "p1_cover": """
+        SELECT tbl, item_id, sum(length(txt))::BIGINT AS n_chars, true AS within, count(*) AS n_rows FROM (SELECT 'records' AS tbl, record_id AS item_id, "text" AS txt FROM records UNION ALL
+            SELECT 'medical_documents', filename, raw_text FROM medical_documents) WHERE txt IS NOT NULL GROUP BY tbl, item_id""",
+    "p2_together": "SELECT (SELECT count(*) FROM records) + (SELECT count(*) FROM clinical_records) AS n_rows, 0::BIGINT AS n_divided",
     "p2_found": rf"""{_LINKED} SELECT DISTINCT 'PAT-' || a AS patient_a, 'PAT-' || b AS patient_b FROM far WHERE a < b""",
     "p2_groups": rf"""{_LINKED}, g AS (SELECT p, least(p, coalesce(min(b), p)) AS g FROM (SELECT DISTINCT p FROM s) LEFT JOIN far ON a = p GROUP BY p)
         SELECT 'PAT-' || p AS patient, 'PAT-' || g AS "group", count(*) OVER (PARTITION BY g) AS n_nodes FROM g""",
