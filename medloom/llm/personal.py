@@ -111,7 +111,7 @@ ADDRESS_EN = re.compile(
     rf"(?:, {_TOWN}(?:,? (?:[A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}}|[A-Z]{{2}} \d{{5}}))?)?"
 )
 #: Where either may begin: one pass over the text instead of two.
-_HOUSE = re.compile(r"(?<![\w.,/])\d{1,4}(?=[ ,A-F])")
+_HOUSE = re.compile(r"[0-9](?<![\w.,/][0-9])[0-9]{0,3}(?=[ ,A-F])")
 
 
 def patterned(text: str, identifies=None) -> list[tuple[int, int, str]]:
@@ -140,7 +140,7 @@ def patterned(text: str, identifies=None) -> list[tuple[int, int, str]]:
             upto = m.end()
             before = building.search(text[max(0, start - 80) : start])
             add(start - len(before[0]) if before else start, m.end(), "ADDRESS")
-    if _LONG.search(text):
+    if "clé" in text or _LONG.search(text):
         for m in CUED_ID.finditer(text):
             if (identifies or says_identity)(text, m.start()):
                 add(m.start(), m.end(), "IDNUM")
@@ -154,7 +154,7 @@ def patterned(text: str, identifies=None) -> list[tuple[int, int, str]]:
 #: A phone number, or one in brackets, of which only its own brackets belong to it.
 PHONE_ANY = re.compile(PHONE.pattern.replace(r"(?<![\w+.(\-])", r"(?<![\w+.\-])", 1))
 #: Six digits close to each other, the fewest that a number of the forms above has: texts without have none.
-_LONG = re.compile(r"\d(?:[ .()\-  A-Z]{0,3}\d){5}|clé")
+_LONG = re.compile(r"[0-9](?:[ .()\-  A-Z]{0,3}[0-9]){5}")
 
 
 def says_identity(text: str, at: int) -> bool:
@@ -296,7 +296,7 @@ def count_words(texts) -> tuple[Counter, Counter, Counter]:
                 for _, _, token in run.tokens:
                     if len(word := _bare(token)) > 1:
                         positions[(ahead, word)] += 1
-        if _LONG.search(text):
+        if "clé" in text or _LONG.search(text):
             for m in CUED_ID.finditer(text):
                 sure = SURE_ID.fullmatch(m[0]) is not None or says_identity(text, m.start())
                 for context in set(contexts(text, m.start())):
